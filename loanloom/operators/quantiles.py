@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,30 @@ def case_bin(value: Column, cuts: Sequence[float], *, closed: str = "left") -> C
     return bins.when(value.isNotNull(), len(cuts))
 
 
+def bucket_codes(
+    df: DataFrame, cuts: dict[str, Sequence[float]], into: dict[str, str]
+) -> DataFrame:
+    """Add an integer bin per column: the number of cuts <= value.
+
+    NULL gets the code after the last bin. The bins are found by the binary
+    search of the ML bucketizer, which keeps a wide projection small enough to
+    be compiled to machine code.
+    """
+    split = [c for c in cuts if cuts[c]]
+    if split:
+        df = Bucketizer(
+            splitsArray=[[-math.inf, *map(float, cuts[c]), math.inf] for c in split],
+            inputCols=split,
+            outputCols=[into[c] for c in split],
+            handleInvalid="keep",
+        ).transform(df)
+    codes = {
+        into[c]: F.coalesce(F.col(into[c]).cast("int"), F.lit(len(cuts[c]) + 1)) for c in split
+    }
+    codes |= {into[c]: F.col(c).isNull().cast("int") for c in cuts if not cuts[c]}
+    return df.withColumns(codes) if codes else df
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
