@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,7 @@ class KeyCensus:
     rows: int
     families: dict[str, FamilyCount]
     hot_keys: list
+    ids_repeat: bool = False
 
 
 def hot_threshold(rows: int) -> float:
@@ -39,32 +41,39 @@ def hot_threshold(rows: int) -> float:
     return max(HOT_MIN_ROWS, rows * HOT_SHARE)
 
 
-def key_census(left: DataFrame, families: dict[str, DataFrame], key: str) -> KeyCensus:
+def key_census(
+    left: DataFrame, families: dict[str, DataFrame], key: str, *, unique_id: str | None = None
+) -> KeyCensus:
     """Count each key per table in one shuffle that carries keys only.
 
     Gives the checks a family join needs (unique right keys, any match at all)
     and the hot left keys that have to be salted. A null left key is counted
-    like any other; null right keys match nothing and are left out.
+    like any other; null right keys match nothing and are left out. With
+    ``unique_id`` the same pass tells whether that left column repeats a value.
     """
     dtype = left.schema[key].dataType
 
-    def ones(table: DataFrame, name: str) -> DataFrame:
+    def ones(table: DataFrame, name: str, column: str = key) -> DataFrame:
         return table.select(
-            F.col(key).cast(dtype).alias("key"),
+            F.lit(name == "_ids").alias("is_id"),
+            F.col(column).cast(dtype).alias("key"),
             *[F.lit(int(other == name)).cast("long").alias(other) for other in names],
         )
 
-    names = ["_left", *families]
+    names = ["_left", *families, *(["_ids"] if unique_id else [])]
     stacked = [ones(left, "_left")] + [
         ones(t.where(F.col(key).isNotNull()), name) for name, t in families.items()
     ]
-    counts = reduce(DataFrame.unionByName, stacked).groupBy("key").agg(
+    if unique_id:
+        stacked.append(ones(left, "_ids", unique_id))
+    counts = reduce(DataFrame.unionByName, stacked).groupBy("is_id", "key").agg(
         *[F.sum(name).alias(name) for name in names]
     )
     zero = F.lit(0)
     top = counts.agg(
         F.coalesce(F.sum("_left"), zero).alias("rows"),
         F.coalesce(F.max("_left"), zero).alias("most"),
+        F.coalesce(F.max("_ids") if unique_id else zero, zero).alias("ids"),
         *[F.coalesce(F.max(f), zero).alias(f"all_{f}") for f in families],
         *[
             F.coalesce(F.max(F.when(F.col("_left") > 0, F.col(f))), zero).alias(f"met_{f}")
@@ -79,6 +88,7 @@ def key_census(left: DataFrame, families: dict[str, DataFrame], key: str) -> Key
         rows=top["rows"],
         families={f: FamilyCount(top[f"all_{f}"], top[f"met_{f}"]) for f in families},
         hot_keys=hot,
+        ids_repeat=top["ids"] > 1,
     )
 
 
@@ -136,6 +146,28 @@ def _checked(on: str) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class DateRange:
+    """Size and first and last day of a dated table."""
+
+    rows: int
+    first: date | None
+    last: date | None
+
+
+def date_range(right: DataFrame, column: str) -> DateRange:
+    """Measure the right side of an as-of join; repeated or null dates raise."""
+    seen = right.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct(column).alias("distinct"),
+        F.to_date(F.min(column)).alias("first"),
+        F.to_date(F.max(column)).alias("last"),
+    ).first()
+    if seen["distinct"] != seen["n"]:
+        raise ValueError(f"{column} must be unique and non-null on the right of an as-of join.")
+    return DateRange(seen["n"], seen["first"], seen["last"])
+
+
 def asof_backward(
     left: DataFrame,
     right: DataFrame,
@@ -144,33 +176,29 @@ def asof_backward(
     *,
     spread_by: str = "loan_id",
     broadcast_rows: int = ASOF_BROADCAST_ROWS,
+    dates: DateRange | None = None,
 ) -> DataFrame:
     """Each left row with the latest right row dated at or before it.
 
     Right dates must be unique. The size of the right side is measured before
     a strategy is chosen: see :func:`_asof_by_day` and :func:`_asof_by_scan`.
     """
-    dates = right.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct(right_on).alias("distinct"),
-        F.min(right_on).cast("timestamp").alias("first"),
-        F.max(right_on).cast("timestamp").alias("last"),
-    ).first()
-    if dates["distinct"] != dates["n"]:
-        raise ValueError(f"{right_on} must be unique and non-null on the right of an as-of join.")
-    if dates["n"] == 0:
+    dates = date_range(right, right_on) if dates is None else dates
+    if dates.rows == 0:
         empty = right.drop(right_on)
         return left.select(
             "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields]
         )
     # every right row opens one interval, which touches one day more than its length
-    split_rows = (dates["last"].date() - dates["first"].date()).days + dates["n"]
+    split_rows = (dates.last - dates.first).days + dates.rows
     if split_rows <= broadcast_rows:
-        return _asof_by_day(left, right, on, right_on, dates["last"].date())
+        return _asof_by_day(left, right, on, right_on, dates.last)
     return _asof_by_scan(left, right, on, right_on, spread_by)
 
 
-def _asof_by_day(left: DataFrame, right: DataFrame, on: str, right_on: str, last_day) -> DataFrame:
+def _asof_by_day(
+    left: DataFrame, right: DataFrame, on: str, right_on: str, last_day: date
+) -> DataFrame:
     """Hash join on the calendar day against validity intervals cut into days.
 
     A range condition alone would become a nested loop over all right rows; the

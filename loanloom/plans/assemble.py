@@ -14,6 +14,7 @@ from loanloom.operators.governance import PD_FORBIDDEN_FEATURES
 from loanloom.operators.joins import (
     DUPLICATE_FAMILY,
     asof_backward,
+    date_range,
     key_census,
     salted_left_join,
 )
@@ -130,8 +131,6 @@ def assemble_pd_feature_matrix(
     loans = source.loans()
     if target_column not in loans.columns:
         raise ValueError(f"Loan portfolio has no target column {target_column!r}.")
-    if check_loan_ids:
-        _require_unique_loans(loans)
 
     no_target = F.raise_error(F.lit(f"{target_column} is null for a loan")).cast("int")
     target = F.when(F.col(target_column).isNull(), no_target).otherwise(
@@ -181,7 +180,15 @@ def assemble_pd_feature_matrix(
             ft.GST_CATEGORICAL,
         ),
     ]
-    census = key_census(loans, {f.name: f.rows for f in families}, "borrower_id")
+    keyed = loans.select(*[F.col(c).cast("string").alias(c) for c in ("loan_id", "borrower_id")])
+    census = key_census(
+        keyed,
+        {f.name: f.rows for f in families},
+        "borrower_id",
+        unique_id="loan_id" if check_loan_ids else None,
+    )
+    if census.ids_repeat:
+        raise ValueError("Loan portfolio has duplicate loan_id rows; the target is ambiguous.")
     used, repeated = [], []
     for f in families:
         seen = census.families[f.name]
@@ -194,21 +201,25 @@ def assemble_pd_feature_matrix(
     if repeated:
         raise ValueError(f"{DUPLICATE_FAMILY} Families: {repeated}")
     if used:
-        base = salted_left_join(
+        joined = salted_left_join(
             base, borrower_profile(used), "borrower_id", census.hot_keys, spread_by="loan_id"
         )
+        derived = []
         for f in used:
             known = F.col(f"_in_{f.name}")
             # columns of a borrower without a row stay null instead of turning into 0/1 flags
-            base = base.withColumns(
-                {c: F.when(known, e) for c, e in f.expressions().items()}
-            )
+            derived += [F.when(known, e).alias(c) for c, e in f.expressions().items()]
             continuous += f.continuous
             categorical += f.categorical
+        base = joined.select(*base.columns, *derived)
 
     macro = source.macro()
-    if not macro.isEmpty():
-        base = asof_backward(base, ft.build_macro_features(macro), "observation_date", ft.MACRO_DATE)
+    readings = date_range(macro, ft.MACRO_DATE)
+    if readings.rows:
+        macro_features = ft.build_macro_features(macro)
+        base = asof_backward(
+            base, macro_features, "observation_date", ft.MACRO_DATE, dates=readings
+        )
         continuous += ft.MACRO_CONTINUOUS
 
     banned = set(forbidden_features) if drop_forbidden else set()
@@ -218,13 +229,3 @@ def assemble_pd_feature_matrix(
         *META_COLUMNS, *continuous, *categorical, F.col("_target").alias(target_column)
     )
     return PDFeatureMatrix(df, continuous, categorical, target_column)
-
-
-def _require_unique_loans(loans: DataFrame) -> None:
-    repeated = (
-        loans.groupBy(F.col("loan_id").cast("string").alias("loan_id"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
-    if not repeated.isEmpty():
-        raise ValueError("Loan portfolio has duplicate loan_id rows; the target is ambiguous.")

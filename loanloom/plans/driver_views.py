@@ -7,6 +7,8 @@ engine. Sizes follow the tables: one loan per order, one borrower per customer.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ HISTORY_MONTHS = 30
 _RISK_LEVELS = 600
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A stored table; footers are read once per session."""
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
@@ -226,42 +230,46 @@ def identities(spark: SparkSession, directory: str) -> DataFrame:
 def bureau_reports(spark: SparkSession, directory: str) -> DataFrame:
     """Nested reports: (borrower_id, part, report), one account per order."""
     orders = table(spark, directory, "orders")
-    key, cust, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
-
-    def code(m: Column) -> Column:
-        cell = (key * 31 + m * 17) % 40
-        return (
-            F.when(_risk("o_custkey") >= 300, "STD")
-            .when(cell == 0, "090")
-            .when(cell == 1, " 030 ")
-            .when(cell == 2, "sma")
-            .when(cell == 3, "060")
-            .when(cell == 4, "SUB")
-            .otherwise("STD")
-        )
-
-    kinds = F.array(*[F.lit(k) for k in ("CC", "OD", "HL", "PL", "TL", "AL")])
-    account = F.struct(
-        F.get(kinds, (key % 6).cast("int")).alias("accountType"),
-        F.when(key % 61 == 8, "bad")
-        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-        .alias("dateOpened"),
-        F.when(key % 3 == 1, "").when(key % 3 == 2, "2001-01-01").alias("dateClosed"),
-        F.when(key % 101 != 7, price).alias("sanctionedAmount"),
-        (price * _d(key % 25) / 10.0).alias("currentBalance"),
-        F.transform(F.sequence(F.lit(0), F.lit(HISTORY_MONTHS - 1)), code).alias("paymentHistory"),
-    )
-    enquiry_day = F.date_sub(F.lit(OBSERVED).cast("date"), ((key % 400) - 10).cast("int"))
-    enquiry = F.struct(
-        F.date_format(enquiry_day, "yyyy-MM-dd").alias("enquiryDate"),
-        F.lit("loan").alias("enquiryPurpose"),
-        F.lit("HARD").alias("enquiryType"),
-    )
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    # only the narrow order fields are shuffled; the nested account is made from them afterwards
     per_part = orders.groupBy(
-        cust.alias("cust"), F.floor(key / REPORT_PART_KEYS).cast("bigint").alias("part")
+        F.col("o_custkey").alias("cust"),
+        F.floor(key / REPORT_PART_KEYS).cast("bigint").alias("part"),
     ).agg(
-        F.collect_list(account).alias("accounts"), F.collect_list(enquiry).alias("enquiries")
+        F.collect_list(
+            F.struct(key.alias("k"), price.alias("price"), F.to_date("o_orderdate").alias("d"))
+        ).alias("orders")
     )
+    kinds = F.array(*[F.lit(k) for k in ("CC", "OD", "HL", "PL", "TL", "AL")])
+    codes = F.array(*[F.lit(c) for c in ("090", " 030 ", "sma", "060", "SUB")])
+    months = F.sequence(F.lit(0), F.lit(HISTORY_MONTHS - 1))
+    clean = F.array_repeat(F.lit("STD"), HISTORY_MONTHS)
+
+    def history(k: Column) -> Column:
+        late = F.transform(
+            months, lambda m: F.coalesce(F.get(codes, ((k * 31 + m * 17) % 40).cast("int")), F.lit("STD"))
+        )
+        return F.when(_risk("cust") >= 300, clean).otherwise(late)
+
+    def account(o: Column) -> Column:
+        k = o["k"]
+        return F.struct(
+            F.get(kinds, (k % 6).cast("int")).alias("accountType"),
+            F.when(k % 61 == 8, "bad").otherwise(F.date_format(o["d"], "yyyy-MM-dd")).alias("dateOpened"),
+            F.when(k % 3 == 1, "").when(k % 3 == 2, "2001-01-01").alias("dateClosed"),
+            F.when(k % 101 != 7, o["price"]).alias("sanctionedAmount"),
+            (o["price"] * _d(k % 25) / 10.0).alias("currentBalance"),
+            history(k).alias("paymentHistory"),
+        )
+
+    def enquiry(o: Column) -> Column:
+        day = F.date_sub(F.lit(OBSERVED).cast("date"), ((o["k"] % 400) - 10).cast("int"))
+        return F.struct(
+            F.date_format(day, "yyyy-MM-dd").alias("enquiryDate"),
+            F.lit("loan").alias("enquiryPurpose"),
+            F.lit("HARD").alias("enquiryType"),
+        )
+
     cust = F.col("cust")
     score_value = (
         F.when(cust % 13 == 6, "-1").otherwise((300 + _risk("cust")).cast("string"))
@@ -282,8 +290,8 @@ def bureau_reports(spark: SparkSession, directory: str) -> DataFrame:
         F.concat(F.lit("REF"), cust.cast("string")).alias("reference_id"),
         F.struct(
             scores.alias("scoreDetails"),
-            F.col("accounts").alias("accountDetails"),
-            F.col("enquiries").alias("enquiryDetails"),
+            F.transform("orders", account).alias("accountDetails"),
+            F.transform("orders", enquiry).alias("enquiryDetails"),
         ).alias("data"),
     )
     return per_part.select(

@@ -47,9 +47,10 @@ def queries() -> dict[str, Query]:
 
 
 def rounded(column: str | Column, digits: int = DIGITS) -> Column:
-    """Rounded double without a negative zero."""
+    """Double rounded half up by plain arithmetic (``round`` goes through decimals)."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    scale = float(10**digits)
+    return F.floor(c.cast("double") * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
 def published(df: DataFrame, digits: int | dict[str, int] = DIGITS) -> DataFrame:

@@ -210,7 +210,8 @@ def statement(body: str, *views: str, **ctes: str) -> str:
 
 
 def d(column: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round(({column})::DOUBLE, {digits}) + 0e0 AS {name or column}"
+    scale = f"1e{digits}"
+    return f"floor(({column})::DOUBLE * {scale} + 0.5::DOUBLE) / {scale} AS {name or column}"
 
 
 def i(column: str, name: str | None = None) -> str:
@@ -460,7 +461,7 @@ SELECT borrower_id, '2001-08-01' AS observation_date, {d('CASE WHEN ds > 0 THEN
         """SELECT borrower_id, '2001-08-01' AS observation_date, cibil_score::BIGINT AS cibil_score, score_type,
         dpd_30_count_24m::BIGINT AS dpd_30_count_24m, dpd_60_count_24m::BIGINT AS dpd_60_count_24m,
         dpd_90_count_24m::BIGINT AS dpd_90_count_24m, months_since_last_delinquency::BIGINT AS months_since_last_delinquency,
-        round(revolving_utilisation, 6) + 0e0 AS revolving_utilisation, open_trade_count::BIGINT AS open_trade_count,
+        floor(revolving_utilisation * 1e6 + 0.5::DOUBLE) / 1e6 AS revolving_utilisation, open_trade_count::BIGINT AS open_trade_count,
         oldest_trade_months::BIGINT AS oldest_trade_months, enquiry_count_6m::BIGINT AS enquiry_count_6m
         FROM bureau WHERE borrower_id IN (SELECT borrower_id FROM loans)""",
         "bureau", "loans",
@@ -524,11 +525,11 @@ FROM (SELECT DISTINCT o_custkey AS cust FROM orders) GROUP BY 1"""
     )
     woe_names = [*ALL_CONTINUOUS, *ALL_CATEGORICAL]
     pivot = ", ".join(
-        f"round(max(CASE WHEN feature = '{c}' THEN woe END), 6) + 0e0 AS {c}_woe" for c in woe_names
+        d(f"max(CASE WHEN feature = '{c}' THEN woe END)", f"{c}_woe") for c in woe_names
     )
     sql["woe_transform"] = _woe_statement(f"SELECT loan_id, {pivot} FROM ({_WOE_LONG}) GROUP BY loan_id")
     sql["iv_summary"] = _woe_statement(
-        """SELECT feature, round(iv, 6) + 0e0 AS iv, CASE WHEN iv < 0.02 THEN 'useless' WHEN iv < 0.10 THEN 'weak'
+        """SELECT feature, floor(iv * 1e6 + 0.5::DOUBLE) / 1e6 AS iv, CASE WHEN iv < 0.02 THEN 'useless' WHEN iv < 0.10 THEN 'weak'
         WHEN iv < 0.30 THEN 'medium' ELSE 'strong' END AS strength, iv >= 0.30 AS leakage_warning, kind FROM (
         SELECT feature, sum(iv) AS iv, 'continuous' AS kind FROM cont GROUP BY feature UNION ALL
         SELECT feature, sum(iv) AS iv, 'categorical' AS kind FROM cat GROUP BY feature)"""
@@ -576,7 +577,7 @@ FROM (SELECT DISTINCT o_custkey AS cust FROM orders) GROUP BY 1"""
         "loans",
     )
     sql["sma_transitions"] = statement(
-        """SELECT f AS from_stage, t AS to_stage, n::BIGINT AS n, round(n::DOUBLE / sum(n) OVER (PARTITION BY f), 6) + 0e0 AS rate
+        """SELECT f AS from_stage, t AS to_stage, n::BIGINT AS n, floor(n::DOUBLE / sum(n) OVER (PARTITION BY f) * 1e6 + 0.5::DOUBLE) / 1e6 AS rate
         FROM (SELECT ['SMA-0','SMA-1','SMA-2','NPA'][a.r + 1] AS f, ['SMA-0','SMA-1','SMA-2','NPA'][b.r + 1] AS t, count(*) AS n
               FROM w a JOIN w b ON a.borrower_id = b.borrower_id AND b.q = a.q + 1 GROUP BY ALL)""",
         "loans",
