@@ -118,7 +118,7 @@ def salted_left_join(
     salt = F.when(is_hot, F.pmod(F.xxhash64(*columns), F.lit(SALTS))).otherwise(F.lit(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted_left = left.withColumn("_salt", salt.cast("int"))
-    salted_right = right.withColumn("_salt", F.explode(copies).cast("int"))
+    salted_right = right.withColumn("_salt", F.explode(copies))
     return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
 
 
