@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame
 SMALL_ROWS = 1_000_000
 
 
-def spread_small(df: DataFrame, rows: int) -> DataFrame:
+def spread_small(df: DataFrame, rows: int, *, cached: bool = False) -> DataFrame:
     """Spread a small fold over the cores of the cluster.
 
     A small table often is one file split, and so one task in every pass of an
     iterative fit. Larger folds keep the partitions of their scan: moving them
-    would cost more than it saves.
+    would cost more than it saves. A ``cached`` fold that already has enough
+    partitions stays as it is.
     """
-    if rows > SMALL_ROWS:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows > SMALL_ROWS or (cached and df.rdd.getNumPartitions() >= cores):
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores)

@@ -18,6 +18,7 @@ from loanloom.operators.joins import (
     key_census,
     salted_left_join,
 )
+from loanloom.operators.partitions import spread_small
 from loanloom.sources.bureau import BureauLoader
 from loanloom.sources.tables import TabularSource
 
@@ -132,22 +133,6 @@ def assemble_pd_feature_matrix(
     if target_column not in loans.columns:
         raise ValueError(f"Loan portfolio has no target column {target_column!r}.")
 
-    no_target = F.raise_error(F.lit(f"{target_column} is null for a loan")).cast("int")
-    target = F.when(F.col(target_column).isNull(), no_target).otherwise(
-        F.col(target_column).cast("int")
-    )
-    loan_exprs = {
-        c: e
-        for c, e in ft.loan_expressions().items()
-        if not (drop_forbidden and c in forbidden_features)
-    }
-    base = loans.select(
-        F.col("loan_id").cast("string").alias("loan_id"),
-        F.col("borrower_id").cast("string").alias("borrower_id"),
-        "observation_date",
-        target.alias("_target"),
-        *[e.alias(c) for c, e in loan_exprs.items()],
-    )
     continuous, categorical = list(ft.LOAN_CONTINUOUS), list(ft.LOAN_CATEGORICAL)
 
     families = []
@@ -200,6 +185,23 @@ def assemble_pd_feature_matrix(
             repeated.append(f.name)
     if repeated:
         raise ValueError(f"{DUPLICATE_FAMILY} Families: {repeated}")
+    no_target = F.raise_error(F.lit(f"{target_column} is null for a loan")).cast("int")
+    target = F.when(F.col(target_column).isNull(), no_target).otherwise(
+        F.col(target_column).cast("int")
+    )
+    loan_exprs = {
+        c: e
+        for c, e in ft.loan_expressions().items()
+        if not (drop_forbidden and c in forbidden_features)
+    }
+    # the census knows the size: a small book often is a single file split
+    base = spread_small(loans, census.rows).select(
+        F.col("loan_id").cast("string").alias("loan_id"),
+        F.col("borrower_id").cast("string").alias("borrower_id"),
+        "observation_date",
+        target.alias("_target"),
+        *[e.alias(c) for c, e in loan_exprs.items()],
+    )
     if used:
         joined = salted_left_join(
             base, borrower_profile(used), "borrower_id", census.hot_keys, spread_by="loan_id"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -220,7 +221,9 @@ def report_classes(spark, directory):
 # --------------------------------------------------------------------------- assembly
 
 
+@lru_cache(maxsize=16)
 def _matrix(spark, directory, bureau: bool = True) -> PDFeatureMatrix:
+    """The lazy matrix of a directory; its key checks run once per session."""
     loader = views.DriverBureauLoader(spark, directory) if bureau else None
     return assemble_pd_feature_matrix(views.DriverSource(spark, directory), loader)
 
