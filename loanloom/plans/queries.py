@@ -319,7 +319,9 @@ def _folds(spark, directory) -> tuple[PDFeatureMatrix, dict[str, DataFrame]]:
     return matrix, {f: split.where(F.col("fold") == f) for f in (TRAIN, VALIDATION, TEST)}
 
 
+@lru_cache(maxsize=16)
 def _scorecard(spark, directory):
+    """The fitted scorecard of a directory, shared by the queries that inspect it."""
     matrix, folds = _folds(spark, directory)
     return models.PDScorecard(matrix.continuous, matrix.categorical).fit(folds[TRAIN]), folds
 
@@ -339,7 +341,7 @@ def scorecard_coefficients(spark, directory):
 
 @query
 def scorecard_metrics(spark, directory):
-    """Metrics of the scorecard on the out-of-time fold, with the base gates enforced."""
+    """Metrics of the scorecard on the out-of-time fold, with the development gates enforced."""
     model, folds = _scorecard(spark, directory)
     found = model.evaluate(folds[TEST])
     metrics.enforce_pd_gates(found, **metrics.GATES["development"])
@@ -386,7 +388,7 @@ def smote_train(spark, directory):
     """Class sizes of the oversampled training fold, real and synthetic rows apart."""
     matrix, folds = _folds(spark, directory)
     rows = _forest(matrix).training_rows(folds[TRAIN])
-    return rows.groupBy(DEFAULT_TARGET, "synthetic").agg(F.count(F.lit(1)).alias("n"))
+    return published(rows.groupBy(DEFAULT_TARGET, "synthetic").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _boosted(matrix: PDFeatureMatrix) -> models.PDBoostedTrees:

@@ -653,6 +653,12 @@ FROM (SELECT DISTINCT o_custkey AS cust FROM orders) GROUP BY 1"""
         ON observation_date::DATE BETWEEN a AND b GROUP BY w""",
         "loans",
     )
+    sql["smote_train"] = statement(
+        """SELECT 0::BIGINT AS default_flag_12m, false AS synthetic, g::BIGINT AS n FROM t UNION ALL
+        SELECT 1, false, e FROM t UNION ALL SELECT 1, true, g - e FROM t""",
+        "loans",
+        t="SELECT sum(y) AS e, sum(1 - y) AS g FROM loans WHERE observation_date <= TIMESTAMP '1999-12-31'",
+    )
     sql["feature_correlation"] = statement(
         " UNION ALL ".join(
             f"SELECT '{a}' AS feature, '{b}' AS other, {d(f'corr({a}, {b})', 'correlation')} FROM complete"
