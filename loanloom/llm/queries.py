@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import mixing, simhash
+from loanloom.llm import mixing, simhash, suffix
 from loanloom.llm.common import table
 from loanloom.llm.statements import STATEMENTS
 
@@ -19,6 +19,12 @@ def _query(run):
     return run
 
 
+@_query
+def op3_suffix_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.without_repeats(docs, 200, as_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
 @_query
 def op5_simhash(spark, sf_dir):
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)

@@ -20,4 +20,21 @@ SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
        (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM j
 """
 
-STATEMENTS = {"op9_mixing": OP9}
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT r, p, md5_number(substr(hx, (2 * p + 1)::BIGINT, 400)) AS s
+      FROM (SELECT r, hx, unnest(range(0, length(hx) // 2 - 199)) AS p FROM d WHERE length(hx) >= 400)),
+again AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+m AS (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 1 ELSE 0 END AS new FROM w SEMI JOIN again USING (s)),
+g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM m),
+spans AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY r, k),
+pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+               string_agg(substr(hx, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS kept
+        FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(hx) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(hx, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+STATEMENTS = {"op3_suffix_dedup": OP3, "op9_mixing": OP9}
