@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import mixing, simhash, suffix
+from loanloom.llm import crosspoly, mixing, simhash, suffix, warc
 from loanloom.llm.common import table
 from loanloom.llm.statements import STATEMENTS
 
@@ -31,6 +31,12 @@ def op5_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query
+def op7_warc(spark, sf_dir):
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query
 def op9_mixing(spark, sf_dir):
     mixed = mixing.mixed_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -38,6 +44,12 @@ def op9_mixing(spark, sf_dir):
                         (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+@_query
+def op10_cross_polytope(spark, sf_dir):
+    linked = crosspoly.linked_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.93)
+    return linked.select("vec_id", "n_links", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_REGISTRY)
 

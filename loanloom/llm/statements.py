@@ -37,4 +37,27 @@ SELECT doc_id, length(hx) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_r
 FROM d LEFT JOIN cut USING (r)
 """
 
-STATEMENTS = {"op3_suffix_dedup": OP3, "op9_mixing": OP9}
+OP10 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM pairs GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p GROUP BY digest),
+b AS (SELECT digest, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((chunk // (32 ** (3 - k))::BIGINT) % 32)::BIGINT + 1, 1), '' ORDER BY g, k) AS b32
+      FROM (SELECT digest, g, k, ('0x' || substr(digest, g * 5 + 1, 5))::BIGINT AS chunk
+            FROM f, range(8) AS r(g), range(4) AS s(k)) GROUP BY digest)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, b32 AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (digest) JOIN b USING (digest)
+"""
+
+STATEMENTS = {"op7_warc": OP7, "op10_cross_polytope": OP10, "op3_suffix_dedup": OP3, "op9_mixing": OP9}
