@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import crosspoly, mixing, simhash, suffix, warc
+from loanloom.llm import crosspoly, langid, mixing, simhash, suffix, warc
 from loanloom.llm.common import table
 from loanloom.llm.statements import STATEMENTS
 
@@ -19,6 +19,14 @@ def _query(run):
     return run
 
 
+@_query
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.with_language(docs.select("doc_id", "text"), langid.fit(docs))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @_query
 def op3_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
