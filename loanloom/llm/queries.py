@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, chat_digests, crosspoly, langid, mixing, simhash, suffix, warc
+from loanloom.llm import chat, chat_digests, crosspoly, langid, mixing, mtree, simhash, suffix, warc
 from loanloom.llm.common import table
 from loanloom.llm.statements import STATEMENTS
 
@@ -47,6 +47,11 @@ def op5_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query
+def op6_mtree_top_k(spark, sf_dir):
+    return mtree.top_inner_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=20, k=20)
+
+
 @_query
 def op7_warc(spark, sf_dir):
     found = warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
