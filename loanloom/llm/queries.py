@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, chat_digests, crosspoly, langid, mixing, mtree, simhash, suffix, warc
+from loanloom.llm import chat, chat_digests, crosspoly, langid, mixing, mtree, pieces, simhash, suffix, warc
 from loanloom.llm.common import table
 from loanloom.llm.statements import STATEMENTS
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -58,6 +60,13 @@ def op7_warc(spark, sf_dir):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query
+def op8_sampled_pieces(spark, sf_dir):
+    """Two segmentations of every text, decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.checked_samples(docs, TOKENIZER, k=2)
+
+
 @_query
 def op9_mixing(spark, sf_dir):
     mixed = mixing.mixed_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
