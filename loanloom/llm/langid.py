@@ -8,11 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanloom.llm.common import fresh, small_batches, text_bytes
+from loanloom.llm.common import fresh, small_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Labelled documents per language that the fit may see at most, and text windows of each.
@@ -174,14 +174,16 @@ def cut_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return windows, owner, np.clip(left, 1, WINDOW)
 
 
-def _predict(net: ByteConvNet, keep: int):
+def _predict(net: ByteConvNet, at: int, keep: list[int], names: list[str]):
+    """Language and score of the texts in column ``at``, after the columns ``keep``; the last column says if there are letters."""
     tables = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not tables:
             tables.extend(net.tables())
         for batch in batches:
-            texts, letters = batch.column(keep).to_pylist(), np.asarray(batch.column(keep + 1))
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            letters = np.asarray(batch.column(batch.num_columns - 1).to_pylist(), dtype=bool)
             score = np.zeros((len(texts), len(net.languages)))
             windows, owner, weight = cut_windows(texts) if texts else (np.zeros((0, WINDOW), np.uint8), [], [])
             for a in range(0, len(windows), 64):  # as many as stay in the cache
@@ -189,30 +191,33 @@ def _predict(net: ByteConvNet, keep: int):
                 np.add.at(score, owner[part], net.probabilities(windows[part], tables) * weight[part, None])
             score /= np.maximum(score.sum(axis=1, keepdims=True), 1e-300)
             best = score.argmax(axis=1) if len(texts) else np.zeros(0, int)
-            names = [net.languages[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)]
+            languages = [net.languages[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)]
             value = np.where(letters, score[np.arange(len(texts)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(names, pa.string()), pa.array(value, pa.float64())],
-                                             names=[*batch.schema.names[:keep], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(languages, pa.string()), pa.array(value, pa.float64())], names=names)
 
     return run
 
 
-def with_language(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
+def with_language(docs: DataFrame, net: ByteConvNet | None, keep_text: bool = True, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) of every whole text.
 
     The windows of a text cover all of it; the score is the mean probability of the
     predicted language, weighted by the bytes of each window. ``und`` with score 0 goes to null texts,
     texts without a letter, and all texts if there is no network. Columns of ``docs`` with one of
-    the two names are replaced, all others stay.
+    the two names are replaced, all others stay, ``text`` only with ``keep_text``.
     """
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    sent = [c for c in docs.columns if c not in names]
+    kept = [c for c in sent if keep_text or c != "text"]
     if net is None:
-        return docs.select(*rest).withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    raw, letters = fresh("raw", docs.columns), fresh("letters", docs.columns)
-    schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    some = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*rest, text_bytes().alias(raw), some.alias(letters)).mapInArrow(_predict(net, len(rest)), schema)
+        return docs.select(*kept).withColumns({names[0]: F.lit(UNDETERMINED), names[1]: F.lit(0.0)})
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    run = _predict(net, sent.index("text"), [sent.index(c) for c in kept], [*kept, *names])
+    return docs.select(*sent, _letters().alias(fresh("letters", docs.columns))).mapInArrow(run, schema)
+
+
+def _letters() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
 def keep_known(docs: DataFrame, net: ByteConvNet | None, least: float = 0.0) -> DataFrame:
@@ -221,8 +226,7 @@ def keep_known(docs: DataFrame, net: ByteConvNet | None, least: float = 0.0) ->
     Without a network nothing is rejected but texts that are null or have no letter.
     """
     if net is None:
-        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    mark = fresh("row", docs.columns)
-    held = docs.select(F.struct(*docs.columns).alias(mark), "text")
-    judged = with_language(held, net).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return judged.select(f"{mark}.*")
+        return docs.where(_letters())
+    names = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    judged = with_language(docs, net, names=names)
+    return judged.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).select(*docs.columns)

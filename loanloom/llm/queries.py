@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, chat_digests, crosspoly, langid, mixing, mtree, pieces, simhash, suffix, warc
+from loanloom.llm import chat, chat_digests, crosspoly, html, langid, mixing, mtree, pieces, simhash, suffix, warc
 from loanloom.llm.common import table
 from loanloom.llm.statements import STATEMENTS
 
@@ -24,11 +24,16 @@ def _query(run):
 @_query
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = langid.with_language(docs.select("doc_id", "text"), langid.fit(docs))
+    found = langid.with_language(docs.select("doc_id", "text"), langid.fit(docs), keep_text=False)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@_query
+def op2_html_text(spark, sf_dir):
+    return html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @_query
 def op3_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -298,3 +298,19 @@ def without_repeats(docs: DataFrame, length: int = 200, as_text: bool = True) ->
     schema = T.StructType([*[docs.schema[c] for c in rest],
                            *[T.StructField(n, T.LongType()) for n in _FOUND[:3]], T.StructField("kept", T.StringType())])
     return joined.mapInArrow(_strip(len(rest), as_text), schema)
+
+
+def drop_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``docs`` with the text that ``without_repeats`` leaves; ``n_chars``, if there, is counted anew.
+
+    A null text stays null. Columns keep their order and any further ones their values.
+    """
+    mark, none = fresh("row", docs.columns), fresh("none", docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    held = docs.select(F.struct(F.col("text").isNull().alias(none), *others).alias(mark), "text")
+    left = without_repeats(held, length, as_text=True)
+    text = F.when(~F.col(mark)[none], F.col("kept"))
+    new = {"text": text}
+    if "n_chars" in others:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[new[c].alias(c) if c in new else F.col(mark)[c].alias(c) for c in docs.columns])
