@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 4096, megabytes: int = 8) -> None:
+def small_batches(spark: SparkSession, rows: int = 1024, megabytes: int = 2) -> None:
     """Bound what one Arrow batch holds, so that long texts do not fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
+def ranges_of(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole items of about ``limit`` bytes together, at least one item each."""
+    upto = np.cumsum(sizes)
+    a = 0
+    while a < len(upto):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, side="right")))
+        yield a, b
+        a = b
+
+
 def row_id() -> Column:
     """A key for rows whose own ids may be null or repeat.
 

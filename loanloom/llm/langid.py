@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanloom.llm.common import fresh, small_batches
+from loanloom.llm.common import fresh, ranges_of, small_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Labelled documents per language that the fit may see at most, and text windows of each.
 SAMPLE_PER_LANGUAGE, WINDOWS_PER_DOC = 500, 3
 UNDETERMINED = "und"
+#: Bytes of text whose windows are held at once.
+CHUNK = 1 << 20
 STRIDE = WINDOW - max(WIDTHS) + 1  # every run of four bytes lies inside a window
 
 
@@ -185,10 +187,11 @@ def _predict(net: ByteConvNet, at: int, keep: list[int], names: list[str]):
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             letters = np.asarray(batch.column(batch.num_columns - 1).to_pylist(), dtype=bool)
             score = np.zeros((len(texts), len(net.languages)))
-            windows, owner, weight = cut_windows(texts) if texts else (np.zeros((0, WINDOW), np.uint8), [], [])
-            for a in range(0, len(windows), 64):  # as many as stay in the cache
-                part = slice(a, a + 64)
-                np.add.at(score, owner[part], net.probabilities(windows[part], tables) * weight[part, None])
+            for first, stop in ranges_of([len(t) for t in texts], CHUNK):
+                windows, owner, weight = cut_windows(texts[first:stop])
+                for a in range(0, len(windows), 64):  # as many as stay in the cache
+                    part = slice(a, a + 64)
+                    np.add.at(score, owner[part] + first, net.probabilities(windows[part], tables) * weight[part, None])
             score /= np.maximum(score.sum(axis=1, keepdims=True), 1e-300)
             best = score.argmax(axis=1) if len(texts) else np.zeros(0, int)
             languages = [net.languages[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanloom.llm.common import fresh, small_batches, text_bytes
+from loanloom.llm.common import fresh, ranges_of, small_batches, text_bytes
 
 #: No piece goes on past a space run or across a line end, so these parts of a text are independent.
 _PARTS = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
@@ -32,7 +32,7 @@ _SEGMENT, _OTHERS, _BRANCH, _FIRST = (np.uint64(x) for x in (0x1B873593, 0x2545F
 #: Probability below which what is left of a word's segmentations is lost in rounding.
 _LEAST = 1e-12
 #: Bytes of text whose lattices are held at once (whole texts, at least one).
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 #: Bytes of each character by its first byte; 0 for bytes inside one.
 _WIDTH = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 16, dtype=np.int64)
 
@@ -353,16 +353,6 @@ def _log_inclusion(x: float) -> float:
     return x if x < -30.0 else float(np.log(-np.expm1(-np.exp(x))))
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about CHUNK bytes of text."""
-    sizes = np.cumsum([len(t.as_buffer()) for t in texts])
-    a = 0
-    while a < len(sizes):
-        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHUNK, side="right")))
-        yield a, b
-        a = b
-
-
 _SAMPLES = [T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()),
             T.StructField("log_prob", T.DoubleType()), T.StructField("perturbed", T.DoubleType()), T.StructField("log_inclusion", T.DoubleType())]
 
@@ -385,7 +375,7 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, seed: int = 8,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from (samples_of(batch.slice(a, b - a)) for a, b in _chunks(batch.column(n)))
+            yield from (samples_of(batch.slice(a, b - a)) for a, b in ranges_of([len(t.as_buffer()) for t in batch.column(n)], CHUNK))
 
     def samples_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         seeds = np.asarray(batch.column(n + 1)).copy()

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from loanloom.llm.common import fresh, row_id, small_batches, text_bytes
+from loanloom.llm.common import fresh, ranges_of, row_id, small_batches, text_bytes
 from loanloom.llm.components import connected_components
 from loanloom.operators.lineage import cut_lineage
 
 SEED = 42
+#: Bytes of text whose hashes are held at once.
+CHUNK = 1 << 20
 #: Value of each bit of a byte, lowest first: rows are byte values.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -62,7 +64,9 @@ def with_fingerprint(docs: DataFrame, column: str, shingle: int = 3, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = pa.array(fingerprints(batch.column(len(rest)).to_pylist(), shingle))
+            texts = batch.column(len(rest)).to_pylist()
+            parts = [fingerprints(texts[a:b], shingle) for a, b in ranges_of([len(t) for t in texts], CHUNK)]
+            values = pa.array(np.concatenate([*parts, np.zeros(0, dtype=np.int64)]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], values], names=[*rest, column])
 
     return docs.select(*rest, text_bytes(text).alias(raw)).mapInArrow(run, schema)

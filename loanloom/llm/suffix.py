@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanloom.llm.common import fresh, row_id, small_batches, text_bytes, written
+from loanloom.llm.common import fresh, ranges_of, row_id, small_batches, text_bytes, written
 
 #: Bytes hashed together to choose the anchor of a string; the shortest string is longer.
 GRAM = 32
 #: Bytes of text that numpy works on at once, and of strings sorted at once.
-CHUNK, SORTED = 1 << 20, 3 << 20
+CHUNK, SORTED = 1 << 20, 1 << 20
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -162,9 +162,7 @@ def _find_anchors(length: int):
         for batch in batches:
             rows = np.asarray(batch.column(0))
             data, at = _flat(batch.column(1))
-            a = 0
-            while a < len(rows):  # whole texts, at least one
-                b = max(a + 1, int(np.searchsorted(at, at[a] + CHUNK, side="right")) - 1)
+            for a, b in ranges_of(np.diff(at), CHUNK):
                 part = data[at[a] : at[b]]
                 owner, first, stop, anchor, again = anchored_strings(part, at[a:b] - at[a], at[a + 1 : b + 1] - at[a], length)
                 if len(owner):
@@ -175,7 +173,6 @@ def _find_anchors(length: int):
                         [pa.array(rows[a:b][owner]), pa.array((first - base).astype(np.int32)), pa.array((stop - base).astype(np.int32)),
                          pa.array(anchor.view(np.int64)), pa.array(digests.view(np.int64)), pa.array(again)],
                         names=["row", "first", "stop", "anchor", "digest", "again"])
-                a = b
 
     return run
 
