@@ -15,6 +15,5 @@ def guard_forbidden(
     present = sorted(set(forbidden or ()) & {*continuous, *categorical})
     if present:
         raise ValueError(
-            f"Forbidden features present in the feature lists: {present}. "
-            "Drop them first (assembly does so by default)."
+            f"Forbidden: {', '.join(present)}; assembly leaves such features out unless told otherwise"
         )

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, set on the context if it is not yet.
 
-    The directory is the one the cluster names in ``spark.checkpoint.dir``. A
-    temporary folder is only used by a local master without that setting.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Without that setting a cluster
+    is refused; a local master, as in tests, where all tasks share the machine, gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         directory = spark.conf.get("spark.checkpoint.dir", None)
         if directory is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
             directory = tempfile.mkdtemp(prefix="loanloom-checkpoint-")
         context.setCheckpointDir(directory)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -6,9 +6,11 @@ applying a fitted step is a single projection.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,16 @@ def _clean(name: str) -> Column:
     return F.nanvl(number(name), F.lit(None).cast("double"))
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` persisted for the several passes of a fit, so that its plan runs once."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 # ------------------------------------------------------------------ IQR clipping
 
 
@@ -41,8 +53,8 @@ class IQRClipper(Estimator):
         self.k = k
 
     def _fit(self, df: DataFrame) -> IQRClipperModel:
-        cleaned = df.select(*[_clean(c).alias(c) for c in self.columns])
-        quartiles = exact_quantiles(cleaned, self.columns, [0.25, 0.75])
+        with kept(df.select(*[_clean(c).alias(c) for c in self.columns])) as cleaned:
+            quartiles = exact_quantiles(cleaned, self.columns, [0.25, 0.75])
         return IQRClipperModel(iqr_bounds(quartiles, self.k))
 
 
@@ -128,12 +140,11 @@ class TreePreprocessor(Estimator):
         self.continuous, self.categorical = list(continuous), list(categorical)
 
     def _fit(self, df: DataFrame) -> TreePreprocessorModel:
-        cleaned = df.select(*[_clean(c).alias(c) for c in self.continuous])
-        medians = exact_quantiles(cleaned, self.continuous, [0.5])
-        return TreePreprocessorModel(
-            {c: q[0] for c, q in medians.items() if q is not None},
-            learn_levels(df, self.categorical),
-        )
+        with kept(df.select(*self.continuous, *self.categorical)) as needed:
+            cleaned = needed.select(*[_clean(c).alias(c) for c in self.continuous])
+            medians = exact_quantiles(cleaned, self.continuous, [0.5])
+            levels = learn_levels(needed, self.categorical)
+        return TreePreprocessorModel({c: q[0] for c, q in medians.items() if q is not None}, levels)
 
 
 class TreePreprocessorModel(Model):
@@ -173,6 +184,10 @@ class NeuralPreprocessor(Estimator):
         self.continuous, self.categorical, self.iqr_k = list(continuous), list(categorical), iqr_k
 
     def _fit(self, df: DataFrame) -> NeuralPreprocessorModel:
+        with kept(df.select(*self.continuous, *self.categorical)) as needed:
+            return self._fit_kept(needed)
+
+    def _fit_kept(self, df: DataFrame) -> NeuralPreprocessorModel:
         cleaned = df.select(*[_clean(c).alias(c) for c in self.continuous])
         rows = cleaned.count()
         medians = {

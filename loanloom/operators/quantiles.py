@@ -198,3 +198,40 @@ def _order_statistics(
     for r in picked.collect():
         found[r["c"]][r["rank"]] = r["v"]
     return found
+
+
+def grouped_quantile(df: DataFrame, by: Sequence[str], value: str, p: float, *, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """``by`` and the exact, linearly interpolated ``quantile`` of ``value`` in each group.
+
+    Equal values of a group are counted before the shuffle. A sketch brackets the wanted
+    rank; values below the bracket are only counted, the few inside are put in order. A
+    bracket that misses is widened. Null values are left out.
+    """
+    keys = [F.col(c) for c in by]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    group = F.struct(*by).alias("g")
+    counted = counted.select(group, "v", "n")
+    margin = 4.0 / accuracy
+    while True:
+        around = [max(0.0, p - margin), min(1.0, p + margin)]
+        sketch = df.where(F.col(value).isNotNull()).groupBy(group).agg(
+            F.count(F.lit(1)).alias("total"), F.percentile_approx(F.col(value).cast("double"), around, accuracy).alias("q"))
+        sketch = sketch.select("g", "total", F.when(F.lit(around[0] > 0.0), F.col("q")[0]).alias("low"), F.when(F.lit(around[1] < 1.0), F.col("q")[1]).alias("high"))
+        inside = (F.col("low").isNull() | (F.col("v") >= F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high")))
+        under = F.coalesce(F.col("v") < F.col("low"), F.lit(False))
+        placed = counted.join(sketch, "g")
+        below = placed.groupBy("g").agg(F.coalesce(F.sum(F.when(under, F.col("n"))), F.lit(0)).alias("below"), F.max("total").alias("total"))
+        upto = F.sum("n").over(Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = placed.where(inside).select("g", "v", upto.alias("upto")).join(below, "g")
+        rank = (F.col("total") - 1) * F.lit(float(p))
+        reached = lambda k: F.min(F.when((F.col("upto") + F.col("below") > k), F.col("v")))
+        found = ranked.groupBy("g").agg(
+            reached(F.floor(rank)).alias("a"), reached(F.ceil(rank)).alias("b"), F.max(F.col("below")).alias("below"), F.max(rank).alias("rank"))
+        right = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("below") <= F.floor("rank"))
+        result = below.select("g").join(found, "g", "left").persist()
+        if margin >= 1.0 or result.where(~F.coalesce(right, F.lit(False))).isEmpty():
+            break
+        result.unpersist()
+        margin = min(1.0, margin * 8)
+    at = F.col("rank") - F.floor("rank")
+    return result.select("g.*", (F.col("a") + at * (F.col("b") - F.col("a"))).alias("quantile"))

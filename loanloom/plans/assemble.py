@@ -140,7 +140,7 @@ def assemble_pd_feature_matrix(
         families.append(
             _Family(
                 "bureau",
-                bureau_loader.load(),
+                bureau_loader.load(loans),
                 ft.BUREAU_CONTINUOUS,
                 ft.bureau_expressions,
                 ft.BUREAU_CONTINUOUS,

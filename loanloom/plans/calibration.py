@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 ZERO_LOSS = 0.05
 _EPS = 1e-6
-ISOTONIC_GRID = 10_000
+_SCORE = "_score"
 
 
 def clamped(p: Column) -> Column:
@@ -44,58 +44,65 @@ class PlattCalibrator:
 
 
 class IsotonicCalibrator:
-    """Monotone step function from raw to observed default rate.
+    """Monotone step function from raw to observed default rate, exact at every size.
 
-    The rows are averaged into ISOTONIC_GRID equal-width probability cells
-    first: monotone regression ends in one task, and so its input is bounded.
+    Equal probabilities are counted first. The regression then pools neighbours range by
+    range and merges the pooled blocks; what it gathers in the end are the steps of the
+    fitted function, one or two numbers each.
     """
 
     def fit(self, df: DataFrame, target: str, probability: str) -> IsotonicCalibrator:
-        cell = F.floor(F.col(probability).cast("double") * ISOTONIC_GRID)
-        cells = df.groupBy(cell.alias("cell")).agg(
-            F.avg(F.col(probability).cast("double")).alias("p"),
+        scores = df.groupBy(F.col(probability).cast("double").alias(_SCORE)).agg(
             F.avg(F.col(target).cast("double")).alias("label"),
             F.count(F.lit(1)).cast("double").alias("weight"),
         )
         self.model_ = IsotonicRegression(
-            featuresCol="p", labelCol="label", weightCol="weight"
-        ).fit(cells)
+            featuresCol=_SCORE, labelCol="label", weightCol="weight"
+        ).fit(scores)
         return self
 
     def transform(self, df: DataFrame, probability: str, into: str) -> DataFrame:
-        renamed = df.withColumn("p", F.col(probability).cast("double")) if probability != "p" else df
-        scored = self.model_.transform(renamed).withColumnRenamed("prediction", into)
-        return scored if probability == "p" or "p" in df.columns else scored.drop("p")
+        held = df.select(F.struct(*df.columns).alias("_row"), F.col(probability).cast("double").alias(_SCORE))
+        scored = self.model_.transform(held)
+        kept = [F.col("_row")[c].alias(c) for c in df.columns if c != into]
+        return scored.select(*kept, F.col("prediction").alias(into))
 
 
 class LongRunCalibrator:
     """Shift of the log-odds that brings the mean probability to a long-run rate.
 
-    The shift is found by bisection over a histogram of the log-odds taken in
-    one pass; a second aggregate is not needed per step.
+    Equal log-odds are counted once and kept; every step of a guarded Newton
+    iteration is one aggregate over them, so nothing is rounded to a grid.
     """
 
-    def __init__(self, long_run_rate: float, *, grid: int = 20_000) -> None:
+    def __init__(self, long_run_rate: float) -> None:
         if not 0.0 < long_run_rate < 1.0:
             raise ValueError(f"long_run_rate must lie in (0, 1); got {long_run_rate}")
-        self.long_run_rate, self.grid = long_run_rate, grid
+        self.long_run_rate = long_run_rate
 
     def fit(self, df: DataFrame, probability: str) -> LongRunCalibrator:
-        z = logit(F.col(probability).cast("double"))
-        span = math.log((1.0 - _EPS) / _EPS)
-        cell = F.floor((z + span) / (2.0 * span) * self.grid)
-        rows = (
-            df.groupBy(cell.alias("cell"))
-            .agg(F.avg(z).alias("z"), F.count(F.lit(1)).alias("n"))
-            .collect()  # at most grid + 1 rows
-        )
-        total = sum(r["n"] for r in rows)
-        low, high = -2.0 * span, 2.0 * span
-        for _ in range(100):
-            mid = (low + high) / 2.0
-            mean = math.fsum(r["n"] / (1.0 + math.exp(-(r["z"] + mid))) for r in rows) / total
-            low, high = (mid, high) if mean < self.long_run_rate else (low, mid)
-        self.shift_ = (low + high) / 2.0
+        z = logit(F.col(probability).cast("double")).alias("z")
+        counted = df.groupBy(z).agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            span = 2.0 * math.log((1.0 - _EPS) / _EPS)
+            low, high, shift = -span, span, 0.0
+            for _ in range(100):
+                share = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("z") + F.lit(shift))))
+                row = counted.agg(
+                    F.sum("n").alias("n"),
+                    F.sum(F.col("n") * share).alias("mean"),
+                    F.sum(F.col("n") * share * (1.0 - share)).alias("slope"),
+                ).first()
+                gap = row["mean"] / row["n"] - self.long_run_rate
+                low, high = (low, shift) if gap > 0 else (shift, high)
+                step = shift - gap / (row["slope"] / row["n"]) if row["slope"] > 0 else low
+                following = step if low < step < high else (low + high) / 2.0
+                if abs(following - shift) <= 1e-13 * max(1.0, abs(shift)):
+                    break
+                shift = following
+        finally:
+            counted.unpersist()
+        self.shift_ = shift
         return self
 
     def apply(self, probability: Column) -> Column:
@@ -151,14 +158,15 @@ class TwoStageLGD:
 def reason_codes(scorecard, df: DataFrame, *, top: int = 3) -> DataFrame:
     """The features that push a row's points down most, worst first.
 
-    Contribution = coefficient x (weight - mean weight), exact for a linear
-    model; one aggregate for the means, then a per-row sort of a short array.
+    Contribution = coefficient x (weight - mean weight in training), exact for a linear
+    model. The means belong to the scorecard, so a loan gets the same reasons alone and in
+    any batch.
     """
     scorecard._check_fitted()
     names = scorecard.preprocess_.output_names
     coefs = scorecard.classifier_.coefficients.toArray().tolist()
+    means = dict(zip(names, scorecard.train_means_, strict=True))
     encoded = scorecard.preprocess_.transform(df)
-    means = encoded.agg(*[F.avg(c).alias(c) for c in names]).first()
     # the model predicts default, so a positive log-odds share costs points
     impacts = F.array(
         *[

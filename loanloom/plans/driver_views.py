@@ -219,7 +219,7 @@ def identities(spark: SparkSession, directory: str) -> DataFrame:
     versions = F.when(key % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return known.select("c_custkey", "c_name", F.explode(versions).alias("version")).select(
         _borrower("c_custkey").alias("borrower_id"),
-        F.concat(F.lit("9"), F.lpad(key.cast("string"), 9, "0")).alias("mobile"),
+        F.concat(F.lit("9"), F.lpad(key.cast("string"), F.greatest(F.length(key.cast("string")), F.lit(9)), F.lit("0"))).alias("mobile"),
         F.when(F.col("version") == 1, F.concat("c_name", F.lit(" II")))
         .otherwise(F.col("c_name"))
         .alias("name"),

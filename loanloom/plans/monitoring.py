@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +136,7 @@ def cohort_performance(
         cohort.alias("cohort"),
         F.col(target).cast("double").alias("y"),
         F.col(probability).cast("double").alias("p"),
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)  # read by the curves and the error; scoring happens once
     ranked = discrimination_by(keyed, "y", "p", ["cohort"], rows_per_slice=rows_per_slice)
     error = F.col("p") - F.col("y")
     brier = keyed.groupBy("cohort").agg(F.avg(error * error).alias("brier"))
@@ -166,22 +166,93 @@ def calibration_by_grade(
     )
 
 
+def _pair_sums(features: Sequence[str], shifts: dict[str, float]):
+    """Per batch and pair of features: rows that have both, their sums, squares and products."""
+
+    def run(batches):
+        width = len(features)
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x -= np.array([shifts[c] for c in features])
+            there = np.isfinite(x)
+            x = np.where(there, x, 0.0)
+            m = there.astype(float)
+            parts = [m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x]
+            i, j = np.divmod(np.arange(width * width), width)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i), pa.array(j), *[pa.array(p.ravel()) for p in parts]], names=["i", "j", "n", "sx", "sxx", "sxy"]
+            )
+
+    return run
+
+
+def pair_sums(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, ...]:
+    """Rows, sums, squares and products per pair of features, over the rows that have both.
+
+    Values count from the mean of their feature. One pass of partial sums per batch, added
+    up per pair of features.
+    """
+    features = list(features)
+    values = df.select(*[number(c).alias(c) for c in features])
+    middle = values.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in features]).first()
+    shifts = {c: middle[c] if middle[c] is not None else 0.0 for c in features}
+    sums = values.mapInArrow(
+        _pair_sums(features, shifts), "i long, j long, n double, sx double, sxx double, sxy double"
+    )
+    names = ("n", "sx", "sxx", "sxy")
+    total = {c: np.zeros((len(features), len(features))) for c in names}
+    for r in sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]).collect():  # one row per pair
+        for c in names:
+            total[c][r["i"], r["j"]] = r[c]
+    return tuple(total[c] for c in names)
+
+
+def pair_correlations(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, sxy: np.ndarray) -> np.ndarray:
+    """Pearson correlation of every pair of features over the rows that have both.
+
+    NaN where fewer than two rows have both or one of them is constant there.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = sxx - sx * sx / n
+        flat = spread <= 1e-12 * sxx
+        found = (sxy - sx * sx.T / n) / np.sqrt(spread * spread.T)
+    found[flat | flat.T | (n < 2)] = np.nan
+    return np.clip(found, -1.0, 1.0)
+
+
+def inflation_factors(sxx: np.ndarray, sxy: np.ndarray, *, tolerance: float = 1e-9) -> np.ndarray:
+    """Variance inflation per feature; infinite for features that others determine.
+
+    A missing value counts as the mean of its feature, so every row takes part and the
+    matrix is a true correlation matrix. Features that take part in a null direction of it
+    are collinear; the others are read off the inverse on the rest. Never below 1; a
+    constant feature has 1.
+    """
+    size = np.sqrt(np.diag(sxx))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        matrix = np.where((size[:, None] > 0) & (size > 0), sxy / (size[:, None] * size), 0.0)
+    np.fill_diagonal(matrix, 1.0)
+    values, vectors = np.linalg.eigh(matrix)
+    null = values <= tolerance * max(1.0, values[-1])
+    collinear = (np.abs(vectors[:, null]) > 1e-6).any(axis=1)
+    inverse = (vectors[:, ~null] ** 2 / values[~null]).sum(axis=1)
+    return np.where(collinear, np.inf, np.maximum(inverse, 1.0))
+
+
 def correlation_and_vif(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Pearson correlations of all feature pairs, and the inflation factor per feature.
 
-    Rows with a missing feature are left out. The matrix has one cell per pair
-    of features, whatever the number of rows.
+    A pair is correlated over the rows that have both features, so a missing
+    value drops nothing else; for the factors it counts as the mean of its feature. One cell
+    per pair of features, whatever the number of rows.
     """
     features = list(features)
     spark = df.sparkSession
-    complete = df.select(*[number(c).alias(c) for c in features]).dropna()
-    vectors = VectorAssembler(inputCols=features, outputCol="v").transform(complete).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    pairs = [
-        (a, b, float(matrix[i, j])) for i, a in enumerate(features) for j, b in enumerate(features)
-    ]
-    inverse = np.linalg.pinv(matrix)
-    vif = [(c, float(inverse[i, i])) for i, c in enumerate(features)]
+    n, sx, sxx, sxy = pair_sums(df, features)
+    matrix = pair_correlations(n, sx, sxx, sxy)
+    plain = lambda v: None if np.isnan(v) else float(v)
+    pairs = [(a, b, plain(matrix[i, j])) for i, a in enumerate(features) for j, b in enumerate(features)]
+    vif = [(c, float(v)) for c, v in zip(features, inflation_factors(sxx, sxy), strict=True)]
     return (
         spark.createDataFrame(pairs, "feature string, other string, correlation double"),
         spark.createDataFrame(vif, "feature string, vif double"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanloom.operators.quantiles import grouped_quantile
+
 # Products drawn against a limit.
 REVOLVING_PRODUCTS = ["credit_card", "overdraft", "working_capital", "cash_credit"]
 # Stress scenario, default multiplier, collateral haircut.
@@ -72,20 +74,14 @@ def credit_conversion_factors(
     """Observed CCF per group: mean, and an upper percentile as the cautious choice.
 
     A facility without undrawn amount says nothing and is left out. The
-    percentile is a mergeable sketch, so no group is gathered in one task.
+    percentile is exact, and no group is gathered in one task.
     """
     undrawn = F.col(limit) - F.col(drawn)
     ccf = F.least(F.greatest((F.col(at_default) - F.col(drawn)) / undrawn, F.lit(0.0)), F.lit(1.0))
-    return (
-        facilities.where(undrawn > 0)
-        .withColumn("ccf", ccf)
-        .groupBy(*by)
-        .agg(
-            F.avg("ccf").alias("mean_ccf"),
-            F.percentile_approx("ccf", F.lit(0.9), 10_000).alias("p90_ccf"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
+    observed = facilities.where(undrawn > 0).select(*by, ccf.alias("ccf"))
+    means = observed.groupBy(F.struct(*by).alias("g")).agg(F.avg("ccf").alias("mean_ccf"), F.count(F.lit(1)).alias("n"))
+    upper = grouped_quantile(observed, by, "ccf", 0.9).select(F.struct(*by).alias("g"), F.col("quantile").alias("p90_ccf"))
+    return means.join(upper, "g", "left").select("g.*", "mean_ccf", "p90_ccf", "n")
 
 
 def expected_loss_rollup(
@@ -234,7 +230,8 @@ def default_within_a_year(
 
     The observations are reduced to one row per borrower and day first, so the
     window is bounded by the calendar. The first default after the day is the
-    smallest default date in the rows that follow.
+    smallest default date in the rows that follow. The flag of a day is then joined
+    back to its observations, one row for each of them.
     """
     day = F.to_date(date)
     days = observations.groupBy(key, day.alias("day")).agg(
@@ -242,11 +239,14 @@ def default_within_a_year(
     )
     after = Window.partitionBy(key).orderBy("day").rowsBetween(1, Window.unboundedFollowing)
     following = F.min(F.when(F.col("hit"), F.col("day"))).over(after)
-    return days.select(
+    flags = days.select(
         key,
         "day",
         F.coalesce(following <= F.add_months("day", 12), F.lit(False)).cast("int").alias("default_next_12m"),
     )
+    return observations.select(by, key, day.alias("day")).join(flags, [key, "day"]).select(
+        by, key, "day", "default_next_12m"
+    )
 
 
 def vintage_curves(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -221,9 +220,7 @@ def report_classes(spark, directory):
 # --------------------------------------------------------------------------- assembly
 
 
-@lru_cache(maxsize=16)
 def _matrix(spark, directory, bureau: bool = True) -> PDFeatureMatrix:
-    """The lazy matrix of a directory; its key checks run once per session."""
     loader = views.DriverBureauLoader(spark, directory) if bureau else None
     return assemble_pd_feature_matrix(views.DriverSource(spark, directory), loader)
 
@@ -319,9 +316,7 @@ def _folds(spark, directory) -> tuple[PDFeatureMatrix, dict[str, DataFrame]]:
     return matrix, {f: split.where(F.col("fold") == f) for f in (TRAIN, VALIDATION, TEST)}
 
 
-@lru_cache(maxsize=16)
 def _scorecard(spark, directory):
-    """The fitted scorecard of a directory, shared by the queries that inspect it."""
     matrix, folds = _folds(spark, directory)
     return models.PDScorecard(matrix.continuous, matrix.categorical).fit(folds[TRAIN]), folds
 
@@ -603,19 +598,21 @@ def calibration_by_grade(spark, directory):
     )
 
 
-CORRELATED = ["cibil_score", "revolving_utilisation", "ltv_at_origination", "drawn_to_sanctioned"]
-
-
 @query
 def feature_correlation(spark, directory):
-    pairs, _ = monitoring.correlation_and_vif(_matrix(spark, directory).df, CORRELATED)
+    """Every pair of continuous features."""
+    matrix = _matrix(spark, directory)
+    pairs, _ = monitoring.correlation_and_vif(matrix.df, matrix.continuous)
     return published(pairs)
 
 
 @query
 def feature_vif(spark, directory):
-    _, vif = monitoring.correlation_and_vif(_matrix(spark, directory).df, CORRELATED)
-    return published(vif)
+    """Every continuous feature; infinite where others determine it."""
+    matrix = _matrix(spark, directory)
+    _, vif = monitoring.correlation_and_vif(matrix.df, matrix.continuous)
+    infinite = F.col("vif") == float("inf")
+    return vif.select("feature", F.when(infinite, F.col("vif")).otherwise(rounded("vif")).alias("vif"))
 
 
 # ------------------------------------------------------------------------ calibration

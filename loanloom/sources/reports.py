@@ -69,8 +69,13 @@ _BLANKS = " \t\n\r\x0b\x0c"
 
 
 def parse_reports(df: DataFrame, raw: str = "raw", into: str = "report") -> DataFrame:
-    """Parse stored JSON text into the nested report column."""
-    return df.withColumn(into, F.from_json(F.col(raw), REPORT_SCHEMA)).drop(raw)
+    """Parse stored JSON text into the nested report column.
+
+    The parsed value is handed on by a generator of one element: conditions on its
+    fields are not moved below one, so no filter parses the text again.
+    """
+    kept = [c for c in df.columns if c not in (raw, into)]
+    return df.select(*kept, F.explode(F.array(F.from_json(F.col(raw), REPORT_SCHEMA))).alias(into))
 
 
 def response_class(report: str = "report") -> Column:

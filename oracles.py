@@ -113,7 +113,7 @@ FROM (SELECT d, year(d) * 12 + month(d) AS i
       FROM (SELECT DISTINCT last_day(o_orderdate) AS d FROM orders) WHERE month(d) <> 6)""",
     "identities": f"""
 SELECT {key('B', 'c_custkey')} AS borrower_id,
-  concat('9', lpad(c_custkey::VARCHAR, 9, '0')) AS mobile,
+  concat('9', lpad(c_custkey::VARCHAR, greatest(9, length(c_custkey::VARCHAR))::INT, '0')) AS mobile,
   CASE WHEN v = 1 THEN c_name || ' II' ELSE c_name END AS name, c_custkey * 2 + v AS seq
 FROM customer, (VALUES (0), (1)) AS t(v) WHERE c_custkey % 20 <> 9 AND (v = 0 OR c_custkey % 10 = 0)""",
     "loan_f": """
@@ -584,9 +584,16 @@ FROM (SELECT DISTINCT o_custkey AS cust FROM orders) GROUP BY 1"""
         w="""SELECT borrower_id, year(observation_date) * 4 + quarter(observation_date) - 1 AS q,
           max(CASE WHEN npa_flag THEN 3 ELSE sma_flag END) AS r FROM loans GROUP BY ALL""",
     )
+    sql["credit_conversion_factors"] = statement(
+        f"""SELECT borrower_segment, {d('avg(ccf)', 'mean_ccf')}, {d('quantile_cont(ccf, 0.9)', 'p90_ccf')}, {i('count(*)', 'n')}
+        FROM (SELECT borrower_segment, least(greatest(((drawn + (lim - drawn) * lgd) - drawn) / (lim - drawn), 0e0), 1e0) AS ccf
+              FROM (SELECT borrower_segment, outstanding_principal AS drawn, sanctioned_limit AS lim, lgd FROM loans) WHERE lim - drawn > 0)
+        GROUP BY borrower_segment""",
+        "loans",
+    )
     sql["default_within_a_year"] = statement(
-        f"""SELECT a.borrower_id, {day('a.d', 'day')}, {i('''(EXISTS (SELECT 1 FROM x b WHERE b.borrower_id = a.borrower_id
-        AND b.hit AND b.d > a.d AND b.d <= a.d + INTERVAL 12 MONTH))::INT''', 'default_next_12m')} FROM x a""",
+        f"""SELECT a.loan_id, a.borrower_id, {day('a.d', 'day')}, {i('''(EXISTS (SELECT 1 FROM x b WHERE b.borrower_id = a.borrower_id
+        AND b.hit AND b.d > a.d AND b.d <= a.d + INTERVAL 12 MONTH))::INT''', 'default_next_12m')} FROM (SELECT loan_id, borrower_id, observation_date::DATE AS d FROM loans) a""",
         "loans",
         x="SELECT borrower_id, observation_date::DATE AS d, bool_or(npa_flag) AS hit FROM loans GROUP BY ALL",
     )
@@ -660,14 +667,11 @@ FROM (SELECT DISTINCT o_custkey AS cust FROM orders) GROUP BY 1"""
         t="SELECT sum(y) AS e, sum(1 - y) AS g FROM loans WHERE observation_date <= TIMESTAMP '1999-12-31'",
     )
     sql["feature_correlation"] = statement(
-        " UNION ALL ".join(
-            f"SELECT '{a}' AS feature, '{b}' AS other, {d(f'corr({a}, {b})', 'correlation')} FROM complete"
-            for a in CORRELATED for b in CORRELATED
-        ),
+        f"SELECT x.feature AS feature, x.other AS other, {d('CASE WHEN isfinite(x.c) THEN x.c END', 'correlation')} FROM pairs",
         "matrix",
-        complete=f"SELECT {', '.join(CORRELATED)} FROM matrix WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in CORRELATED),
+        pairs="SELECT unnest(["
+        + ", ".join(f"{{'feature': '{a}', 'other': '{b}', 'c': corr({a}, {b})}}" for a in ALL_CONTINUOUS for b in ALL_CONTINUOUS)
+        + "]) AS x FROM matrix",
     )
     return sql
 
-
-CORRELATED = ["cibil_score", "revolving_utilisation", "ltv_at_origination", "drawn_to_sanctioned"]
