@@ -6,12 +6,14 @@ applying a fitted step is a single projection.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
+from pyspark.ml.util import MLReader, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,53 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
+class StoredState:
+    """Writing and reading of models whose state is a few plain values.
+
+    The state is one JSON text, written and read by Spark, so any file system will do.
+    """
+
+    def state(self) -> dict:
+        raise NotImplementedError
+
+    @classmethod
+    def from_state(cls, state: dict):
+        return cls(**state)
+
+    def write(self) -> MLWriter:
+        return _StateWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _StateReader(cls)
+
+    def save(self, path: str) -> None:
+        self.write().save(path)
+
+    @classmethod
+    def load(cls, path: str):
+        return cls.read().load(path)
+
+
+class _StateWriter(MLWriter):
+    def __init__(self, model: StoredState) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        text = json.dumps(self.model.state())
+        self.sparkSession.createDataFrame([(text,)], "state string").coalesce(1).write.parquet(f"{path}/state")
+
+
+class _StateReader(MLReader):
+    def __init__(self, kind: type[StoredState]) -> None:
+        super().__init__()
+        self.kind = kind
+
+    def load(self, path: str):
+        return self.kind.from_state(json.loads(self.sparkSession.read.parquet(f"{path}/state").first()["state"]))
+
+
 # ------------------------------------------------------------------ IQR clipping
 
 
@@ -73,10 +122,13 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
-class IQRClipperModel(Model):
+class IQRClipperModel(StoredState, Model):
     def __init__(self, bounds: dict[str, tuple[float, float]]) -> None:
         super().__init__()
-        self.bounds = bounds
+        self.bounds = {c: tuple(b) for c, b in bounds.items()}
+
+    def state(self) -> dict:
+        return {"bounds": self.bounds}
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: clip(_clean(c), *b) for c, b in self.bounds.items()})
@@ -93,6 +145,10 @@ class Levels:
     mode: str
 
 
+def _plain_levels(levels: dict[str, Levels]) -> dict[str, dict]:
+    return {c: asdict(v) for c, v in levels.items()}
+
+
 def learn_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, Levels]:
     """Levels per column; columns without any value are left out.
 
@@ -147,7 +203,7 @@ class TreePreprocessor(Estimator):
         return TreePreprocessorModel({c: q[0] for c, q in medians.items() if q is not None}, levels)
 
 
-class TreePreprocessorModel(Model):
+class TreePreprocessorModel(StoredState, Model):
     """Replaces the features by doubles without nulls; other columns pass through.
 
     A level not seen during fit becomes -1.
@@ -157,6 +213,13 @@ class TreePreprocessorModel(Model):
         super().__init__()
         self.medians, self.levels = medians, levels
 
+    def state(self) -> dict:
+        return {"medians": self.medians, "levels": _plain_levels(self.levels)}
+
+    @classmethod
+    def from_state(cls, state: dict) -> TreePreprocessorModel:
+        return cls(state["medians"], {c: Levels(**v) for c, v in state["levels"].items()})
+
     @property
     def output_names(self) -> list[str]:
         return [*self.medians, *self.levels]
@@ -214,13 +277,20 @@ class NeuralPreprocessor(Estimator):
         return NeuralPreprocessorModel(medians, bounds, scales, learn_levels(df, self.categorical))
 
 
-class NeuralPreprocessorModel(Model):
+class NeuralPreprocessorModel(StoredState, Model):
     """Scaled columns keep their name; level columns are ``<feature>_<level>``."""
 
     def __init__(self, medians, bounds, scales, levels: dict[str, Levels]) -> None:
         super().__init__()
         self.medians, self.bounds, self.scales, self.levels = medians, bounds, scales, levels
 
+    def state(self) -> dict:
+        return {"medians": self.medians, "bounds": self.bounds, "scales": self.scales, "levels": _plain_levels(self.levels)}
+
+    @classmethod
+    def from_state(cls, state: dict) -> NeuralPreprocessorModel:
+        return cls(state["medians"], state["bounds"], state["scales"], {c: Levels(**v) for c, v in state["levels"].items()})
+
     @property
     def output_names(self) -> list[str]:
         return [*self.scales, *(f"{c}_{k}" for c, lv in self.levels.items() for k in lv.ordered)]

@@ -9,11 +9,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loanloom.operators.preprocess import IQRClipper, NeuralPreprocessor, TreePreprocessor
 from loanloom.operators.quantiles import grouped_quantile
 from loanloom.operators.smote import smote
 from loanloom.plans import calibration as cal
 from loanloom.plans import monitoring, portfolio
-from loanloom.plans.models import PDScorecard
+from loanloom.plans.models import PDBoostedTrees, PDRandomForest, PDScorecard
 from loanloom.sources.bureau import StoredReportBureauLoader
 
 
@@ -112,3 +113,26 @@ def test_oversampling_keeps_parity_with_repeated_points(spark):
     got = smote(spark.createDataFrame(pdf), ["a", "b"], "y", key="id")
     counts = {(r["y"], r["synthetic"]): r["count"] for r in got.groupBy("y", "synthetic").count().collect()}
     assert counts == {(0, False): 240, (1, False): 60, (1, True): 180}
+
+
+def test_preprocessing_comes_back_from_disk(credit, tmp_path):
+    features = (["cibil_score", "revolving_utilisation"], ["borrower_segment"])
+    for i, model in enumerate((
+        TreePreprocessor(*features).fit(credit), NeuralPreprocessor(*features).fit(credit), IQRClipper(features[0]).fit(credit))):
+        model.save(str(tmp_path / str(i)))
+        again = type(model).load(str(tmp_path / str(i)))
+        rows = lambda m: sorted(map(str, m.transform(credit).collect()))
+        assert rows(again) == rows(model)
+
+
+def test_models_come_back_from_disk(credit, tmp_path):
+    features = (["cibil_score", "revolving_utilisation", "dpd_90_count_24m"], ["borrower_segment"])
+    for model in (
+        PDScorecard(*features, target="y"), PDRandomForest(*features, target="y", n_estimators=3, max_depth=4, use_smote=False),
+        PDBoostedTrees(*features, target="y", params={"n_estimators": 3})):
+        model.fit(credit).save(str(tmp_path / type(model).__name__))
+        again = type(model).load(str(tmp_path / type(model).__name__))
+        scores = lambda m: sorted((r["loan_id"], r["pd"]) for r in m.predict_proba(credit).collect())
+        assert scores(again) == scores(model)
+    with pytest.raises(ValueError, match="PDBoostedTrees"):
+        PDScorecard.load(str(tmp_path / "PDBoostedTrees"))
