@@ -29,8 +29,7 @@ def pages(spark, rows):
 
 
 def test_blocks_of_a_page():
-    got = html.main_text(*zip(*html.page_blocks(PAGE), strict=True), [], 6)[0]
-    assert got == "Head & line\nFirst para graph <x> éé.\nUnclosed bold italic\none\ntwo\na\nb"
+    assert html.article_text(html.page_blocks(PAGE)) == "Head & line\nFirst para graph <x> éé.\nUnclosed bold italic\none\ntwo\na\nb"
 
 
 @pytest.mark.parametrize(("source", "text"), [
@@ -41,7 +40,8 @@ def test_blocks_of_a_page():
 ])
 def test_odd_pages(source, text):
     blocks = html.page_blocks(source)
-    assert html.main_text([z for z, _ in blocks], [t for _, t in blocks], [], 6)[0] == text
+    article = html.article_text(blocks)
+    assert (html.uncovered_text(blocks, html.covered_words([], 6)) if article is None else article) == text
 
 
 def test_repeats_across_pages_of_a_host_are_no_text(spark):
@@ -312,6 +312,8 @@ def test_texts_come_back(spark, vocab, monkeypatch):
     texts = ["", None, "  x ", "a\n\nb\n", "▁a▁ b", "é\tñ ﬁ Ａ\x00z", "    ", "日本語𝄞", "x" * 3000, "word " * 2000, "the", "the"]
     rows = [(i if i else None, t, "i", 7, "d") for i, t in enumerate(texts)] + [(10, "the", "i", 7, "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, raw string, digest int, decoded string")
+    texts_back = pieces.decode_samples(pieces.encode_samples(docs.drop("decoded"), TOKENIZER, k=2), TOKENIZER).select("doc_id", "decoded").collect()
+    assert {tuple(r) for r in texts_back} == {(i, t or "") for i, t, *_ in rows}
     got = pieces.checked_samples(docs, TOKENIZER, k=3).collect()
     assert all(r["round_trip"] and r["raw"] == "i" and r["digest"] == 7 and len(r["ids"]) == r["n_pieces"] for r in got)
     assert {r["doc_id"] for r in got} == {r[0] for r in rows}
