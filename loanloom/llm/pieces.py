@@ -16,9 +16,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +36,8 @@ _SEGMENT, _OTHERS, _BRANCH, _FIRST = (np.uint64(x) for x in (0x1B873593, 0x2545F
 _LEAST = 1e-12
 #: Bytes of text whose lattices are held at once (whole texts, at least one).
 CHUNK = 1 << 20
+#: Bytes from the end of a part up to which its masses are far from underflow; beyond, logarithms are added.
+_LINEAR = 60
 #: Bytes of each character by its first byte; 0 for bytes inside one.
 _WIDTH = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 16, dtype=np.int64)
 
@@ -106,10 +111,19 @@ class Lattice:
     count: np.ndarray
     to: np.ndarray
     piece: np.ndarray
-    logp: np.ndarray  # of the edge, given its state
+    p: np.ndarray  # probability of the edge, given its state
     cum: np.ndarray
 
 
+def _covered(chars: np.ndarray, width: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The bytes of the characters that begin at ``chars``, as far as their part goes."""
+    total = len(width)
+    ends = np.bincount(chars + np.minimum(width[chars], left[chars]), minlength=total + 1)[:total]
+    opens = np.zeros(total, dtype=np.int64)
+    opens[chars] = 1
+    return np.cumsum(opens - ends) > 0
+
+
 def build_lattice(parts: list[bytes], vocab: Vocabulary) -> Lattice:
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     data = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8)  # no piece holds a zero byte
@@ -120,56 +134,66 @@ def build_lattice(parts: list[bytes], vocab: Vocabulary) -> Lattice:
     inside[end] = False
     left = np.repeat(end, sizes + 1) - np.arange(total)
     count, found = np.zeros(total, dtype=np.int64), []
-    at = np.flatnonzero(inside)
-    node = np.ones(len(at), dtype=np.int32)
+    at = np.flatnonzero(inside).astype(np.int32)
+    node, table, symbol = np.ones(len(at), dtype=np.int32), vocab.table.ravel(), data.astype(np.int32)
     whole = np.zeros(total, dtype=bool)  # a piece covers exactly the character here
     width = _WIDTH[data]
     for size in range(1, vocab.longest + 1):
-        node = vocab.table[node, data[at + size - 1]]
-        keep = node > 0
-        at, node = at[keep], node[keep]
+        node = table.take(node * 256 + symbol.take(at + (size - 1)))
+        keep = np.flatnonzero(node)
+        at, node = at.take(keep), node.take(keep)
         if not len(at):
             break
-        hit = vocab.ends[node] >= 0
-        here = at[hit]
-        found.append((here, count[here], here + size, vocab.ends[node[hit]]))
+        piece = vocab.ends.take(node)
+        hit = np.flatnonzero(piece >= 0)
+        here = at.take(hit)
+        found.append((here, count.take(here), here + size, piece.take(hit)))
         count[here] += 1
         whole[here[width[here] == size]] = True
     lost = np.flatnonzero(~whole & inside & (width > 0))  # characters to be spelt in bytes
-    cover = np.zeros(total + 8, dtype=np.int64)
-    chars = np.flatnonzero(inside & (width > 0))
-    np.add.at(cover, chars, 1)
-    np.add.at(cover, np.minimum(chars + width[chars], chars + left[chars]), -1)
-    spelt = np.zeros(total + 8, dtype=np.int64)
-    np.add.at(spelt, lost, 1)
-    np.add.at(spelt, np.minimum(lost + width[lost], lost + left[lost]), -1)
-    here = np.flatnonzero(inside & ((np.cumsum(spelt)[:total] > 0) | (np.cumsum(cover)[:total] == 0)))
+    stray = np.flatnonzero(inside & (width == 0) & ~_covered(np.flatnonzero(inside & (width > 1)), width, left))  # no UTF-8
+    here = np.union1d(np.flatnonzero(inside & _covered(lost, width, left)), stray)
     found.append((here, count[here], here + 1, vocab.byte_ids[data[here]]))
     count[here] += 1
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    to, piece = np.zeros(count.sum(), dtype=np.int64), np.zeros(count.sum(), dtype=np.int32)
+    to, piece = np.zeros(count.sum(), dtype=np.int32), np.zeros(count.sum(), dtype=np.int32)
     for source, slot, target, ident in found:
-        edge = first[source] + slot
+        edge = first.take(source) + slot
         to[edge], piece[edge] = target, ident
-    weight, mass = vocab.weights[piece], np.zeros(total)
+    weight = np.exp(vocab.weights)[piece]
+    mass, log_mass = np.ones(total), None  # of all ways from a state to the end of its part
     order = np.flatnonzero(count)
-    order = order[np.argsort(left[order], kind="stable")]
+    near = left[order]
+    order = order[np.argsort(near.astype(np.uint16) if near.max(initial=0) < 1 << 16 else near, kind="stable")]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(left[order])) + 1, [len(order)]))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # from the ends of the parts to their beginnings
+    for a, b in pairwise(cuts.tolist()):  # from the ends of the parts to their beginnings
         states = order[a:b]
-        edge, n = first[states], count[states]
-        value = weight[edge] + mass[to[edge]]
+        edge, n = first.take(states), count.take(states)
+        if left[states[0]] <= _LINEAR:
+            value = weight.take(edge) * mass.take(to.take(edge))
+            for j in range(1, n.max()):
+                more = np.flatnonzero(n > j)
+                e = edge.take(more) + j
+                value[more] += weight.take(e) * mass.take(to.take(e))
+            mass[states] = value
+            continue
+        if log_mass is None:
+            log_mass = np.log(mass)
+        value = np.log(weight.take(edge)) + log_mass.take(to.take(edge))
         for j in range(1, n.max()):
             more = np.flatnonzero(n > j)
-            e = edge[more] + j
-            value[more] = np.logaddexp(value[more], weight[e] + mass[to[e]])
-        mass[states] = value
-    source = np.repeat(np.arange(total), count)
-    logp = weight + mass[to] - mass[source]
-    running = np.cumsum(np.exp(logp))
-    cum = running - np.concatenate(([0.0], running))[first[source]]
+            e = edge.take(more) + j
+            value[more] = np.logaddexp(value.take(more), np.log(weight.take(e)) + log_mass.take(to.take(e)))
+        log_mass[states] = value
+    source = np.repeat(np.arange(total, dtype=np.int32), count)
+    p = weight * mass.take(to) / mass.take(source)
+    if log_mass is not None:
+        far = np.flatnonzero(left.take(source) > _LINEAR)
+        p[far] = np.exp(np.log(weight.take(far)) + log_mass.take(to.take(far)) - log_mass.take(source.take(far)))
+    running = np.cumsum(p)
+    cum = running - np.concatenate(([0.0], running)).take(first.take(source))
     cum[(first + count - 1)[count > 0]] = 2.0  # the last edge takes what rounding leaves
-    return Lattice(start, end, first, count, to, piece, logp, cum)
+    return Lattice(start, end, first, count, to, piece, p, cum)
 
 
 def _nth(k: int) -> np.uint64:
@@ -177,6 +201,10 @@ def _nth(k: int) -> np.uint64:
     return np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
 
 
+#: The first steps of a word.
+_STEPS = np.array([_nth(k) for k in range(12)], dtype=np.uint64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -200,7 +228,7 @@ def sample_words(lattice: Lattice, words: np.ndarray, seeds: np.ndarray) -> tupl
         while len(on):
             edge[on] += 1
             on = on[draw[on] >= lattice.cum[edge[on]]]
-        logq[index] += lattice.logp[edge]
+        logq[index] += np.log(lattice.p.take(edge))
         taken.append((index, edge))
         count[index] += 1
         state = lattice.to[edge]
@@ -213,16 +241,16 @@ def sample_words(lattice: Lattice, words: np.ndarray, seeds: np.ndarray) -> tupl
     return edges, count, logq
 
 
-def other_segmentation(lattice: Lattice, word: int, known: list[list[int]], seed: np.ndarray) -> tuple[list[int], float]:
-    """A segmentation of the word other than the known ones, and its log probability."""
+def other_segmentation(lattice: Lattice, word: int, known: list[list[int]], draws: list[float], seed: np.ndarray) -> tuple[list[int], float]:
+    """A segmentation of the word other than the known ones, and its log probability; ``draws`` are for the first steps."""
     state, end, path, logq, step = int(lattice.start[word]), int(lattice.end[word]), [], 0.0, 0
-    alive = [(list(k), float(np.exp(lattice.logp[k].sum()))) for k in known]  # what is left of each, with its probability
+    alive = [(list(k), float(lattice.p[k].prod())) for k in known]  # what is left of each, with its probability
     while state < end:
         first = int(lattice.first[state])
         edges = range(first, first + int(lattice.count[state]))
-        p = [float(np.exp(lattice.logp[e])) for e in edges]
+        p = lattice.p[first : first + len(edges)].tolist()
         free = [max(0.0, q - sum(w for k, w in alive if k[0] == e)) for e, q in zip(edges, p, strict=True)]
-        draw = float(_uniform(seed + _nth(step))[0]) * sum(free)
+        draw = (draws[step] if step < len(draws) else float(_uniform(seed + _nth(step))[0])) * sum(free)
         pick = max(range(len(free)), key=free.__getitem__)
         for i, f in enumerate(free):
             if f > 0.0 and draw < f:
@@ -232,7 +260,7 @@ def other_segmentation(lattice: Lattice, word: int, known: list[list[int]], seed
         edge, q = first + pick, p[pick]
         alive = [(k[1:], w / q) for k, w in alive if k[0] == edge]
         path.append(edge)
-        logq += float(lattice.logp[edge])
+        logq += float(np.log(lattice.p[edge]))
         state, step = int(lattice.to[edge]), step + 1
     return path, logq
 
@@ -277,14 +305,15 @@ def sample_segmentations(texts: list[bytes], seeds: np.ndarray, vocab: Vocabular
     what is left beside the others is then lost in rounding. The inclusion score is the probability of being among the k given the largest value
     that is not; it is 1 where all segmentations are drawn. An empty text has one, without pieces.
     """
-    types: dict[bytes, int] = {}
-    words = [[types.setdefault(p, len(types)) for p in _PARTS.findall(b" " + t)] if t else [] for t in texts]
-    counts = np.array([len(w) for w in words], dtype=np.int64)
+    parts = [_PARTS.findall(b" " + t) if t else [] for t in texts]
+    counts = np.array([len(w) for w in parts], dtype=np.int64)
+    words = list(chain.from_iterable(parts))
+    types = {w: i for i, w in enumerate(dict.fromkeys(words))}
     base = np.concatenate(([0], np.cumsum(counts)))
     if not types:
         return [[(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
     lattice = build_lattice(list(types), vocab)
-    flat = np.array([x for w in words for x in w], dtype=np.int64)
+    flat = np.fromiter(map(types.__getitem__, words), dtype=np.int64, count=len(words))
     owner = np.repeat(np.arange(len(texts)), counts)
     place = (np.arange(len(flat)) - base[owner]).astype(np.uint64)
     seeds = _mixed(seeds.view(np.uint64))
@@ -308,27 +337,35 @@ def sample_segmentations(texts: list[bytes], seeds: np.ndarray, vocab: Vocabular
         branch = _mixed(seeds + _BRANCH + _nth(r))
         fresh_words = np.concatenate([np.arange(base[d] + j + 1, base[d + 1]) for d, _, j in grown])
         tail_edges, tail_sizes, tail_logq = sample_words(lattice, flat[fresh_words], stream(_SEGMENT, r)[fresh_words])
-        draws = _uniform(stream(_OTHERS, r))
-        at, token = 0, np.concatenate(([0], np.cumsum(tail_sizes)))
-        for d, parent, j in grown:
-            n = counts[d] - j - 1
-            word = int(flat[base[d] + j])
-            known = parent.known.get(j) or [parent.choice(j)]
-            path, q = other_segmentation(lattice, word, known, branch[d : d + 1])
-            value, parent.others[j] = float(parent.others[j]), -np.inf
-            known = [*known, path]
-            own = parent.offset[j] + len(path)
-            logs = np.concatenate((parent.logq[:j], [q], tail_logq[at : at + n]))
-            ahead = np.concatenate(([0.0], np.cumsum(logs)[:-1]))
-            rest = np.full(counts[d], -np.inf)
-            rest[j + 1 :] = ahead[j + 1 :] + _rest(np.exp(logs[j + 1 :]))
-            rest[j] = ahead[j] + float(_rest(np.array(sum(float(np.exp(lattice.logp[p].sum())) for p in known))))
-            part = slice(base[d], base[d + 1])
+        docs, j = np.array([d for d, _, _ in grown]), np.array([j for _, _, j in grown])
+        size = counts[docs]
+        local = np.concatenate(([0], np.cumsum(size)))  # the words of these texts, one after the other
+        own = np.repeat(np.arange(len(docs)), size)
+        at = np.arange(local[-1])
+        turn = local[:-1] + j
+        tail = at > turn[own]
+        known = [parent.known.get(w) or [parent.choice(w)] for _, parent, w in grown]
+        steps = _uniform(branch[docs][:, None] + _STEPS).tolist()
+        paths = [other_segmentation(lattice, int(flat[base[d] + w]), k, u, branch[d : d + 1])
+                 for (d, _, w), k, u in zip(grown, known, steps, strict=True)]
+        known = [[*k, path] for k, (path, _) in zip(known, paths, strict=True)]
+        logs = np.concatenate([parent.logq for _, parent, _ in grown])
+        logs[tail], logs[turn] = tail_logq, [q for _, q in paths]
+        running = np.concatenate(([0.0], np.cumsum(logs)))
+        ahead = running[:-1] - running[local[own]]
+        rest = np.where(tail, ahead + _rest(np.exp(logs)), -np.inf)
+        rest[turn] = ahead[turn] + _rest(np.array([sum(float(lattice.p[x].prod()) for x in k) for k in known]))
+        values = np.array([parent.others[w] for _, parent, w in grown])
+        beyond = _largest_of_rest(rest, values[own], _uniform(stream(_OTHERS, r))[base[docs][own] + at - local[own]])
+        token, t = np.concatenate(([0], np.cumsum(tail_sizes))), 0
+        for i, (d, parent, w) in enumerate(grown):
+            n, path, part = counts[d] - w - 1, paths[i][0], slice(local[i], local[i + 1])
+            parent.others[w] = -np.inf
             lines[d].append(_Line(
-                np.concatenate((parent.edges[: parent.offset[j]], np.array(path, dtype=np.int64), tail_edges[token[at] : token[at + n]])),
-                np.concatenate((parent.offset[: j + 1], own + token[at : at + n + 1] - token[at])), logs, ahead,
-                _largest_of_rest(rest, np.full(counts[d], value), draws[part]), {j: known}, value))
-            at += n
+                np.concatenate((parent.edges[: parent.offset[w]], path, tail_edges[token[t] : token[t + n]])),
+                np.concatenate((parent.offset[: w + 1], parent.offset[w] + len(path) + token[t : t + n + 1] - token[t])),
+                logs[part], ahead[part], beyond[part], {w: known[i]}, float(values[i])))
+            t += n
     out = []
     for d in range(len(texts)):
         if not lines[d]:
@@ -394,13 +431,26 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, seed: int = 8,
     return docs.select(*rest, text_bytes().alias(raw), known.alias(draw)).mapInArrow(run, schema)
 
 
-def decode(ids: list[int], pieces: list[bytes]) -> bytes:
-    """The text of piece ids, without the space that encoding puts in front."""
-    return b"".join([pieces[i] for i in ids])[1:]
+def decode(ids: np.ndarray, ends: np.ndarray, pieces: list[bytes]) -> list[bytes]:
+    """The texts of piece ids that lie one after the other, ``ends`` where each text ends.
 
+    The space that encoding puts in front goes. All bytes are gathered at once.
+    """
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    width = sizes[ids]
+    upto = np.cumsum(width)
+    out = data[np.repeat(first[ids] - (upto - width), width) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+    cuts = np.concatenate(([0], upto))[np.concatenate(([0], ends)).astype(np.int64)].tolist()
+    return [out[a + 1 : b] for a, b in pairwise(cuts)]
+
+
+def decode_samples(samples: DataFrame, model_file: str, column: str = "decoded", digest: bool = False) -> DataFrame:
+    """``samples`` with the text of ``ids``, or its XXH64 (seed 42) with ``digest``; null ids give a null.
 
-def decode_samples(samples: DataFrame, model_file: str, column: str = "decoded") -> DataFrame:
-    """``samples`` with the text of ``ids``; null ids give a null. Bytes that are no UTF-8 become U+FFFD."""
+    Bytes that are no UTF-8 become U+FFFD.
+    """
     small_batches(samples.sparkSession)
     vocab = samples.sparkSession.sparkContext.broadcast(load_vocabulary(model_file).pieces)
     rest = [c for c in samples.columns if c != column]
@@ -408,16 +458,25 @@ def decode_samples(samples: DataFrame, model_file: str, column: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else decode(ids, vocab.value).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*rest, column])
-
-    schema = T.StructType([*[samples.schema[c] for c in rest], T.StructField(column, T.StringType())])
+            lists = batch.column(at)
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            texts = decode(np.asarray(lists.flatten()), ends, vocab.value)
+            known = lists.is_valid().to_pylist()
+            if digest:
+                hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], dtype=np.uint64).view(np.int64)
+                found = pa.array(hashes, mask=~np.array(known, dtype=bool))
+            else:
+                found = pa.array([t.decode("utf-8", "replace") if ok else None for t, ok in zip(texts, known, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*rest, column])
+
+    kind = T.LongType() if digest else T.StringType()
+    schema = T.StructType([*[samples.schema[c] for c in rest], T.StructField(column, kind)])
     return samples.select(*rest).mapInArrow(run, schema)
 
 
 def checked_samples(docs: DataFrame, model_file: str, k: int = 2, seed: int = 8) -> DataFrame:
     """The samples of ``encode_samples`` with ``round_trip``: whether decoding the ids gives the text back."""
-    digest, decoded = fresh("digest", docs.columns), fresh("decoded", docs.columns)
-    marked = docs.withColumn(digest, F.xxhash64(F.coalesce("text", F.lit(""))))
-    samples = decode_samples(encode_samples(marked, model_file, k, seed), model_file, decoded)
-    return samples.withColumn("round_trip", F.xxhash64(decoded) == F.col(digest)).drop(digest, decoded)
+    before, after = fresh("before", docs.columns), fresh("after", docs.columns)
+    marked = docs.withColumn(before, F.xxhash64(F.coalesce("text", F.lit(""))))
+    samples = decode_samples(encode_samples(marked, model_file, k, seed), model_file, after, digest=True)
+    return samples.withColumn("round_trip", F.col(before) == F.col(after)).drop(before, after)
