@@ -78,33 +78,32 @@ def tree_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
 
     ``nodes`` has ``tree_id, node_id, parent_id, score``. Self-joins of the table of jumps
     double the distance each round, so a tree of depth d takes about log2(d) rounds and each
-    round has one row per node: first every node learns its depth and the score of its path,
+    round joins the nodes that have not reached their root: first every node learns its depth and the score of its path,
     then the leaves are ranked within their tree (mean score of the path, then more turns,
     then smaller leaf id; a null score counts as zero), and the chosen leaves gather their
     ancestors over the same jumps. ``branches`` None keeps every leaf. A parent that is not
     in the tree makes its node a root. Node ids have to be unique in a tree; nodes on a cycle
     reach no root and are not part of any path. Null tree ids are one tree.
     """
-    spark = nodes.sparkSession
     key = F.coalesce(F.to_json(F.struct("tree_id")), F.lit("")).alias("tree")
     base = cut_lineage(nodes.select(key, "tree_id", F.col("node_id").alias("node"), F.col("parent_id").alias("parent"),
                                     F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("here"))
     jumps = base.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("here"), F.col("parent")).alias("to"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
-    tables, nodes_left = [cut_lineage(jumps)], None
-    while True:
-        last = tables[-1]
-        left = last.where("to is not null").count()
-        if left == 0 or left == nodes_left:  # all are at their root, or only cycles are left
-            break
-        nodes_left = left
-        ahead = last.select("tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("total").alias("further"))
-        doubled = last.join(ahead, ["tree", "to"], "left").select(
-            "tree", "node", F.col("next").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("further", F.lit(0.0))).alias("total"))
-        tables.append(cut_lineage(doubled))
-    rooted = tables[-1].where("to is null").select("tree", "node", F.col("steps").alias("depth"), "total")
+    jumps = cut_lineage(jumps)
+    done, active = jumps.where("to is null"), jumps.where("to is not null")
+    tables, before = [active], None
+    while (left := active.count()) and left != before:  # an equal number: only cycles are left
+        before = left
+        ahead = done.unionByName(active).select(
+            "tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("total").alias("further"))
+        doubled = cut_lineage(active.join(ahead, ["tree", "to"]).select(
+            "tree", "node", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"),
+            (F.col("total") + F.col("further")).alias("total")))
+        done, active = done.unionByName(doubled.where("to is null")), doubled.where("to is not null")
+        tables.append(active)
+    rooted = done.select("tree", "node", F.col("steps").alias("depth"), "total")
     parents = base.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
     leaves = rooted.join(parents, ["tree", "node"], "left_anti")
     rank = W.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
@@ -113,8 +112,7 @@ def tree_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
         leaves = leaves.where(F.col("branch") <= branches)
     chosen = cut_lineage(leaves.select("tree", "branch", F.col("node").alias("leaf_id"), (F.col("total") / F.col("depth")).alias("path_score"), "node"))
     for table in reversed(tables[:-1]):  # from the farthest jumps to the single steps
-        steps = table.where("to is not null").select("tree", "node", "to")
-        found = chosen.join(steps, ["tree", "node"]).select("tree", "branch", "leaf_id", "path_score", F.col("to").alias("node"))
+        found = chosen.join(table.select("tree", "node", "to"), ["tree", "node"]).select("tree", "branch", "leaf_id", "path_score", F.col("to").alias("node"))
         chosen = cut_lineage(chosen.unionByName(found).distinct())
     names = base.select("tree", "tree_id", "node")
     placed = chosen.join(rooted.select("tree", "node", "depth"), ["tree", "node"]).join(names, ["tree", "node"])
