@@ -61,6 +61,31 @@ def test_repeats_across_pages_of_a_host_are_no_text(spark):
     assert html.extract_text(pages(spark, [])).count() == 0
 
 
+def test_copied_pages_keep_their_text(spark):
+    menu = "<div>home about us contact imprint terms help</div>"
+    story = " ".join(f"word{j}" for j in range(40))
+    rows = [(i, f"http://a.org/{i}", f"{menu}<p>{story}</p><div class='ad'>offer {i}</div>") for i in range(3)]  # one page but for the advert
+    rows += [(10 + i, f"http://b.org/{i}", f"{menu}<p>{story}</p>") for i in range(4)] + [(20, "http://b.org/x", f"{menu}<p>another page</p>")]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(3)] == ["home about us contact imprint terms help\n" + story] * 3
+    assert [got[10 + i] for i in range(4)] == [story] * 4 and got[20] == "another page"
+
+
+@pytest.mark.parametrize("size", [6, 60])
+def test_prose_stays_whole_on_a_growing_host(spark, size):
+    menu = "<ul><li>home<li>about us<li>contact imprint<li>terms help</ul>"
+    foot = lambda i: f"<div>all rights reserved by the makers of this fine site since page {i}</div>"
+    quote = "it was the best of times it was the worst of times"
+    story = lambda i: f"start{i} {' '.join(f'w{i}x{j}' for j in range(8))} {quote if i < 3 else ''} end{i}"
+    rows = [(i, f"http://a.org/{i}", f"{menu}<p>{story(i)}</p>{f'<p>{quote}</p>' if i == 3 else ''}{foot(i)}") for i in range(size)]
+    rows.append((size, "http://a.org/both", f"{menu}<p>all rights reserved by the makers of this fine site since page one two three four five six seven</p>"))
+    got = {r["page_id"]: r["text"] for r in html.extract_text(pages(spark, rows)).collect()}
+    for i in range(size):
+        want = [" ".join(story(i).split())] + ([quote] if i == 3 and size > 6 else [])
+        assert got[i].split("\n")[: len(want)] == want and "rights" not in got[i] and "home" not in got[i]
+    assert got[size].startswith("all rights reserved") and got[size].endswith("six seven")
+
+
 # --------------------------------------------------------------------- archives
 
 
