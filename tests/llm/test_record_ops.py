@@ -44,6 +44,33 @@ def test_odd_pages(source, text):
     assert (html.uncovered_text(blocks, html.covered_words([], 6)) if article is None else article) == text
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div class='layout has-sidebar'>", "<div class='no-comments'>", "<div class='ad-free'>", "<div id='with-nav'>", "<form id='aspnetForm'>",
+    "<div class='header'>", "<div class='widget'>", "<form><div class='page'>", "<div role='banner'>"])
+def test_wrappers_keep_the_article(wrapper):
+    source = f"<nav>menu</nav>{wrapper}<article><div class='article-header'><h1>Head</h1></div><div class='header'>by line</div><p>text</p></article>"
+    assert html.article_text(html.page_blocks(source)) == "Head\nby line\ntext"
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<nav>", "<aside>", "<footer>", "<div class='comments'>", "<section id='comments-area'>", "<div class='box sidebar'>", "<div id='comment-12'>",
+    "<div hidden>", "<div role='navigation'>", "<div class='Site-Footer'>"])
+def test_articles_in_side_parts_are_no_text(wrapper):
+    blocks = html.page_blocks(f"<p>page</p>{wrapper}<div><article>other</article></div>")
+    assert html.article_text(blocks) is None and html.uncovered_text(blocks, html.covered_words([], 6)) == "page"
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    ("<div class='has-sidebar'><p>a</p></div>", "a"), ("<form><p>a</p><input></form>", "a"), ("<p>a</p><form>name <input></form>", "a"),
+    ("<div>a</div><form><p>b</p><nav>c</nav><div>d</div></form>e", "a\nb\nd\ne"), ("<form>x<article>b</article></form>", "b"),
+    ("<article>a<form>f<p>g</p></form>b</article>", "a\nb"), ("<div class='cookie-notice'>c</div><p>a</p>", "a"),
+    ("<form><div class='ad'>x</div><header>y</header><p>a</p></form>", "a")])
+def test_names_and_forms_without_an_article(source, text):
+    blocks = html.page_blocks(source)
+    article = html.article_text(blocks)
+    assert (html.uncovered_text(blocks, html.covered_words([], 6)) if article is None else article) == text
+
+
 def test_repeats_across_pages_of_a_host_are_no_text(spark):
     menu = "<div>home about us contact imprint terms help</div>"
     story = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
