@@ -29,9 +29,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
 DIGITS = 6
-# Small ensembles: the registry shows the operators, not a tuned model.
-TREES, ROUNDS, TRIALS = 20, 10, 2
-SEARCH = {"n_estimators": ("int", 3, 6), "max_depth": ("int", 3, 4), "learning_rate": ("log", 0.05, 0.3)}
 
 
 def query(function: Query) -> Query:
@@ -359,9 +356,7 @@ def scorecard_reason_codes(spark, directory):
 
 
 def _forest(matrix: PDFeatureMatrix, **options) -> models.PDRandomForest:
-    return models.PDRandomForest(
-        matrix.continuous, matrix.categorical, n_estimators=TREES, max_depth=8, **options
-    )
+    return models.PDRandomForest(matrix.continuous, matrix.categorical, **options)
 
 
 @query
@@ -387,11 +382,7 @@ def smote_train(spark, directory):
 
 
 def _boosted(matrix: PDFeatureMatrix) -> models.PDBoostedTrees:
-    return models.PDBoostedTrees(
-        matrix.continuous,
-        matrix.categorical,
-        params={"n_estimators": ROUNDS, "learning_rate": 0.2, "max_depth": 4},
-    )
+    return models.PDBoostedTrees(matrix.continuous, matrix.categorical)
 
 
 @query
@@ -410,10 +401,10 @@ def importances(spark, directory):
 
 @query
 def tuned_params(spark, directory):
-    """Every trial of a short search, with its validation Gini."""
+    """Every trial of the search over the whole space, with its validation Gini."""
     matrix, folds = _folds(spark, directory)
     model = _boosted(matrix)
-    model.tune(folds[TRAIN], folds[VALIDATION], n_trials=TRIALS, space=SEARCH)
+    model.tune(folds[TRAIN], folds[VALIDATION])
     rows = [
         (t.number, name, float(value), t.gini)
         for t in model.study_.trials
