@@ -561,6 +561,26 @@ def jensen_shannon(spark, directory):
     return published(monitoring.jensen_shannon(shares))
 
 
+def _feature_shares(spark, directory) -> DataFrame:
+    """Bins of the score and of every continuous feature of the matrix, in one pass."""
+    matrix = _matrix(spark, directory)
+    scores = views.scored_loans(spark, directory).select("loan_id", "p")
+    boundary = F.lit("2000-01-01").cast("timestamp")
+    populations = monitoring.Populations(matrix.df.join(scores, "loan_id"), F.col("observation_date") < boundary)
+    return monitoring.share_table(populations, ["p", *matrix.continuous])
+
+
+@query
+def feature_psi(spark, directory):
+    """Stability of the score and of every continuous feature."""
+    return published(monitoring.stability_index(_feature_shares(spark, directory)))
+
+
+@query
+def feature_jensen_shannon(spark, directory):
+    return published(monitoring.jensen_shannon(_feature_shares(spark, directory)))
+
+
 @query
 def drift_ks(spark, directory):
     return published(monitoring.two_sample_ks(_populations(spark, directory), "p"), 9)
@@ -627,15 +647,16 @@ def calibrated_pd(spark, directory):
 @query
 def two_stage_lgd(spark, directory):
     """Two-stage loss model on the tree-preprocessed matrix with the state allowed."""
-    loans = views.scored_loans(spark, directory).select(
-        "loan_id",
-        F.coalesce(F.col("sanctioned_limit"), F.lit(0.0)).alias("limit"),
-        "ltv_at_origination",
-        F.col("months_on_book").cast("double").alias("age"),
-        F.greatest(F.col("ltv_at_origination") - F.col("lgd"), F.lit(0.0)).alias("loss"),
+    loader = views.DriverBureauLoader(spark, directory)
+    matrix = assemble_pd_feature_matrix(views.DriverSource(spark, directory), loader, drop_forbidden=False)
+    encoder = build_pd_feature_pipeline("tree", matrix.continuous, matrix.categorical, forbidden_features=())
+    fold = matrix.df.select("loan_id", *matrix.feature_names)
+    encoded = encoder.fit(fold)
+    losses = views.scored_loans(spark, directory).select(
+        "loan_id", F.greatest(F.col("ltv_at_origination") - F.col("lgd"), F.lit(0.0)).alias("loss")
     )
-    features = ["limit", "ltv_at_origination", "age"]
-    scored = calibration.TwoStageLGD(features).fit(loans, "loss").predict(loans)
+    loans = encoded.transform(fold).join(losses, "loan_id")
+    scored = calibration.TwoStageLGD(encoded.output_names).fit(loans, "loss").predict(loans)
     return published(scored.select("loan_id", "p_loss", "severity", "lgd"))
 
 

@@ -424,6 +424,20 @@ _PSI_CTES = {
       n_current::DOUBLE / sum(n_current) OVER (PARTITION BY feature) AS a FROM cells""",
 }
 
+_FEATURE_PSI_CTES = {
+    "long": " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {c}::DOUBLE AS x, m.observation_date < TIMESTAMP '2000-01-01' AS base FROM matrix m JOIN (SELECT loan_id, p FROM loans) USING (loan_id)"
+        for c in ["p", *ALL_CONTINUOUS]
+    ),
+    "edges": f"SELECT feature, list_sort(list_distinct(quantile_cont(x, {_GRID}))) AS e FROM long WHERE base AND x IS NOT NULL GROUP BY feature",
+    "coded": """SELECT feature, base, CASE WHEN x IS NULL THEN -1 WHEN e IS NULL THEN 0
+      ELSE len(list_filter(e[2:len(e) - 1], lambda k: k <= x)) END AS bin FROM long LEFT JOIN edges USING (feature)""",
+    "cells": _PSI_CTES["cells"],
+    "shares": """SELECT feature, bin, n_baseline, n_current,
+      n_baseline::DOUBLE / nullif(sum(n_baseline) OVER (PARTITION BY feature), 0) AS b,
+      n_current::DOUBLE / nullif(sum(n_current) OVER (PARTITION BY feature), 0) AS a FROM cells""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
@@ -622,6 +636,17 @@ FROM (SELECT DISTINCT o_custkey AS cust FROM orders) GROUP BY 1"""
         + CASE WHEN a > 0 THEN a * ln(a / ((a + b) / 2e0)) ELSE 0 END) / 2e0)''', 'js_divergence')} FROM shares GROUP BY feature""",
         "loans", **_PSI_CTES,
     )
+    sql["feature_psi"] = statement(
+        f"""SELECT feature, {d('psi')}, CASE WHEN psi >= 0.40 THEN 'retrain' WHEN psi >= 0.25 THEN 'alert' ELSE 'stable' END AS status
+        FROM (SELECT feature, sum((greatest(a, 1e-4) - greatest(b, 1e-4)) * ln(greatest(a, 1e-4) / greatest(b, 1e-4))) AS psi
+              FROM shares GROUP BY feature)""",
+        "matrix", "loans", **_FEATURE_PSI_CTES,
+    )
+    sql["feature_jensen_shannon"] = statement(
+        f"""SELECT feature, {d("""sum((CASE WHEN b > 0 THEN b * ln(b / ((a + b) / 2e0)) ELSE 0 END
+        + CASE WHEN a > 0 THEN a * ln(a / ((a + b) / 2e0)) ELSE 0 END) / 2e0)""", 'js_divergence')} FROM shares GROUP BY feature""",
+        "matrix", "loans", **_FEATURE_PSI_CTES,
+    )
     sql["drift_ks"] = statement(
         f"SELECT {d('ks', digits=9)}, ks >= 0.20 AS alert FROM (SELECT max(abs(cb / nb - cg / ng)) AS ks FROM c)",
         "loans",
