@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, chat_digests, crosspoly, html, langid, mixing, mtree, pieces, simhash, suffix, warc
+from loanloom.llm import chat, chat_digests, crosspoly, html, langid, lexical, mixing, mtree, pieces, simhash, suffix, warc
 from loanloom.llm.common import table
 from loanloom.llm.statements import STATEMENTS
 
@@ -85,6 +85,12 @@ def op10_cross_polytope(spark, sf_dir):
     return linked.select("vec_id", "n_links", "component_id", "kept")
 
 
+@_query
+def op11_lexical_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.rank_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_REGISTRY)
 

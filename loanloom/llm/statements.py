@@ -79,4 +79,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-STATEMENTS = {"op6_mtree_top_k": OP6, "op4_chat_format": OP4, "op7_warc": OP7, "op10_cross_polytope": OP10, "op3_suffix_dedup": OP3, "op9_mixing": OP9}
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rk, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS nn, sum(len(t))::BIGINT AS ll FROM d),
+it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT rk, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d),
+tf AS (SELECT rk, doc_id, n, term, count(*)::BIGINT AS tf FROM p WHERE term IN (SELECT term FROM it) GROUP BY rk, doc_id, n, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT item_id, term, floor(1000.0 * ln((2.0 * nn + 2.0) / (2.0 * df + 1.0)))::BIGINT AS w FROM it JOIN df USING (term), s),
+sc AS (SELECT item_id, rk, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score
+       FROM tf JOIN w USING (term), s GROUP BY item_id, rk, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, rk) AS rank FROM sc WHERE score > 0)
+WHERE rank <= 10
+"""
+
+STATEMENTS = {"op11_lexical_search": OP11, "op6_mtree_top_k": OP6, "op4_chat_format": OP4, "op7_warc": OP7, "op10_cross_polytope": OP10, "op3_suffix_dedup": OP3, "op9_mixing": OP9}
