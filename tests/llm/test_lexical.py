@@ -62,3 +62,12 @@ def test_extra_columns_with_clashing_names(spark):
     b = spark.createDataFrame([(1, "dog", 1, "t")], "item_id long, text string, term long, w string")
     got = sorted((r.doc_id, r.rank) for r in rank_documents(a, b).collect())
     assert got == [(1, 2), (2, 1)]
+
+
+def test_vocabulary_too_large_to_broadcast_gives_the_same(spark, monkeypatch):
+    import loanloom.llm.lexical as lexical
+
+    docs = [(1, "The cat sat on the mat"), (2, "the CAT sat"), (3, None), (4, "cat cat dog Élan"), (4, "cat cat dog Élan")]
+    items = [(100, "cat dog"), (101, "élan the")]
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 0)
+    assert run(spark, docs, items) == slow(docs, items)
