@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, chat_digests, crosspoly, curves, html, langid, lexical, mixing, mtree, pieces, simhash, suffix, warc
+from loanloom.llm import burst, chat, chat_digests, crosspoly, curves, html, langid, lexical, mixing, mtree, pieces, simhash, suffix, warc
 from loanloom.llm.common import table
 from loanloom.llm.statements import STATEMENTS
 
@@ -91,6 +91,12 @@ def op11_lexical_search(spark, sf_dir):
     return lexical.rank_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
 
 
+@_query
+def op12_prefix_trie(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return burst.prefix_trie(burst.rebuilt(turns))
+
+
 @_query
 def op13_curve_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
