@@ -43,7 +43,7 @@ def test_query_equals_statement(spark, con, name):
 
 def test_every_operator_has_a_query():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in contract.queries()
 
 
 def test_language_query(spark, con):
