@@ -231,7 +231,8 @@ def default_within_a_year(
     The observations are reduced to one row per borrower and day first, so the
     window is bounded by the calendar. The first default after the day is the
     smallest default date in the rows that follow. The flag of a day is then joined
-    back to its observations, one row for each of them.
+    back to its observations, one row for each of them: an observation with a null
+    borrower or date cannot be followed and gets 0, and is kept like any other.
     """
     day = F.to_date(date)
     days = observations.groupBy(key, day.alias("day")).agg(
@@ -244,8 +245,8 @@ def default_within_a_year(
         "day",
         F.coalesce(following <= F.add_months("day", 12), F.lit(False)).cast("int").alias("default_next_12m"),
     )
-    return observations.select(by, key, day.alias("day")).join(flags, [key, "day"]).select(
-        by, key, "day", "default_next_12m"
+    return observations.select(by, key, day.alias("day")).join(flags, [key, "day"], "left").select(
+        by, key, "day", F.coalesce("default_next_12m", F.lit(0)).alias("default_next_12m")
     )
 
 

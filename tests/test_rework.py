@@ -95,6 +95,14 @@ def test_every_observation_gets_its_flag(spark):
     assert got == {"L1": 1, "L2": 1, "L3": 0, "L4": 0}
 
 
+def test_observations_with_null_borrower_or_date_are_kept(spark):
+    rows = [("L1", "B", "2020-01-01", False), ("L2", None, "2020-01-01", True), ("L3", None, "2020-02-01", True),
+            ("L4", "B", None, True), ("L5", "B", "2020-03-01", True), ("L6", "B", "2020-03-01", False)]
+    df = spark.createDataFrame(rows, "loan_id string, borrower_id string, observation_date string, npa_flag boolean")
+    got = sorted((r["loan_id"], r["default_next_12m"]) for r in portfolio.default_within_a_year(df).collect())
+    assert got == [("L1", 1), ("L2", 0), ("L3", 0), ("L4", 0), ("L5", 0), ("L6", 0)]
+
+
 def test_stored_reports_are_parsed_once(spark):
     stored = spark.createDataFrame([("B0", '{"status": "SUCCESS", "data": {}}'), ("B1", '{"responseKey": "error_empty_consent"}')], "borrower_id string, raw string")
     known = spark.createDataFrame([("B0", "9", "n", 1), ("B1", "9", "m", 2)], "borrower_id string, mobile string, name string, seq int")
