@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder for checkpoints, set on the context if it is not yet.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Without that setting a cluster
-    is refused; a local master, as in tests, where all tasks share the machine, gets a folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Without that setting it is a
+    folder inside the warehouse (``spark.sql.warehouse.dir``), which the cluster shares as well;
+    no machine-local temporary folder is ever used.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         directory = spark.conf.get("spark.checkpoint.dir", None)
         if directory is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-            directory = tempfile.mkdtemp(prefix="loanloom-checkpoint-")
+            directory = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(directory)
     return context.getCheckpointDir()
 
