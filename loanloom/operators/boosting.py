@@ -221,11 +221,15 @@ def boost(data: BinnedRows, p: BoostingParams) -> BoostedTreesModel:
     cached = state
     for t in range(p.n_estimators):
         chosen = sorted(draws.sample(range(len(data.features)), width))
-        tree, state_next = _grow(cached, p, t, chosen)
+        tree, state_next, kept = _grow(cached, p, t, chosen)
         model.trees.append(tree)
         state_next = state_next.persist(StorageLevel.MEMORY_AND_DISK)
         if (t + 1) % CHECKPOINT_EVERY == 0:
             state_next = cut_lineage(state_next)
+        else:
+            state_next.count()
+        for level in kept:
+            level.unpersist()
         if data.validating:
             auc = _auc(state_next.where("held"))
             model.history.append(auc)
@@ -261,7 +265,8 @@ def _grow(state: DataFrame, p: BoostingParams, t: int, chosen: list[int]):
     prob = 1.0 / (1.0 + F.exp(-F.col("margin")))
     g, h = F.col("w") * (prob - F.col("y")), F.col("w") * prob * (1.0 - prob)
     draw = (F.xxhash64("rid", F.lit(t), F.lit(p.seed)).bitwiseAND(F.lit(0xFFFFFFFF)) / float(1 << 32))
-    rows = state.withColumn("node", F.lit(0)).withColumn("g", g).withColumn("h", h)
+    rows = state.withColumn("node", F.lit(0)).withColumn("g", g).withColumn("h", h).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [rows]
     training = (~F.col("held")) & (draw < p.subsample) if p.subsample < 1.0 else ~F.col("held")
     open_nodes = [0]
     sums: dict[int, tuple[float, float]] = {0: (0.0, 0.0)}
@@ -288,7 +293,9 @@ def _grow(state: DataFrame, p: BoostingParams, t: int, chosen: list[int]):
             open_nodes = []
             break
         depth = level + 1
-        rows = rows.withColumn("node", _step(feature, cut, left_missing))
+        # kept per level, so that the next step reads a column instead of nesting all earlier steps
+        rows = rows.withColumn("node", _step(feature, cut, left_missing)).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(rows)
         open_nodes = [c for n in splits for c in (2 * n + 1, 2 * n + 2)]
         if depth == p.max_depth:  # children at the deepest level: their sums come from the parents' histograms
             for n in splits:
@@ -300,7 +307,8 @@ def _grow(state: DataFrame, p: BoostingParams, t: int, chosen: list[int]):
                     value[child] = p.learning_rate * leaf_weight(float(cg), float(ch), p)
     tree = {"depth": depth, "feature": feature, "cut": cut, "left_missing": left_missing, "value": value, "gain": gain_of}
     leaf = F.element_at(F.array(*[F.lit(v) for v in value]), F.col("node") + 1)
-    return tree, rows.select("rid", "bins", "y", "w", "held", (F.col("margin") + leaf).alias("margin"))
+    margins = rows.select("rid", "bins", "y", "w", "held", (F.col("margin") + leaf).alias("margin"))
+    return tree, margins, kept
 
 
 def _step(feature: list[int], cut: list[int], left_missing: list[bool]) -> Column:
