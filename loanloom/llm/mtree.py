@@ -40,8 +40,12 @@ class Tree:
     nearest candidates of a query are those with the largest inner product.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, root: np.ndarray, reach: float):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, root: np.ndarray, reach: float, keys: np.ndarray | None = None):
         self.reach = reach  # squared length that every candidate gets
+        self.keys = ids if keys is None else keys  # one per row; ids may repeat
+        self.order = np.lexsort((self.keys, ids))
+        self.place = np.empty(len(ids), np.int64)
+        self.place[self.order] = np.arange(len(ids))  # place in the order of (id, key): equal scores go by it
         lifted = _lift(vectors, reach)
         self.from_root = np.linalg.norm(lifted - root, axis=1)
         order = np.argsort(self.from_root, kind="stable")
@@ -55,7 +59,8 @@ class Tree:
         self.compared = 0
 
     def search(self, own: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query row, candidate id and score of up to ``k`` best of each query; ``floor`` is a score each query has ``k`` times already.
+        """Query row, candidate position and score of up to ``k`` best of each query; ``own`` are the keys of the queries,
+        whose own rows are left out; ``floor`` is a score each query has ``k`` times already.
 
         Pages are visited in the order of their least possible distance. A page is passed
         over for a query by its distance to the parent first, without a distance of its own,
@@ -91,8 +96,8 @@ class Tree:
                 continue
             found = inner_products(queries[live], self.vectors[entries[wanted]])
             self.compared += found.size
-            who = np.broadcast_to(self.ids[entries[wanted]], found.shape)
-            found = np.where(who == own[live][:, None], _NONE, found)
+            who = np.broadcast_to(self.place[entries[wanted]], found.shape)
+            found = np.where(self.keys[entries[wanted]][None, :] == own[live][:, None], _NONE, found)
             some = found.max(axis=1) >= score[live, k - 1]
             live, found, who = live[some], found[some], who[some]
             both, names = np.concatenate((score[live], found), axis=1), np.concatenate((ident[live], who), axis=1)
@@ -100,7 +105,7 @@ class Tree:
             score[live], ident[live] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
             limit[live] = _limit(far[live], np.maximum(floor[live], score[live, k - 1]))
         rows, slots = np.nonzero((score > _NONE) & (score >= floor[:, None]))
-        return rows, ident[rows, slots], score[rows, slots]
+        return rows, self.order[ident[rows, slots]], score[rows, slots]
 
 
 #: Below every score.
@@ -150,14 +155,15 @@ def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def whole_vectors(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
-    """``vec_id, dim, vector`` with components floor(scale * x), of usable vectors only.
+    """``vec_id, row, dim, vector`` with components floor(scale * x), of usable vectors only.
 
-    Null ids take no part. Of rows that repeat an id the one with the smallest vector counts.
+    Null ids take no part. Rows that repeat an id all count, each with its own ``row`` key
+    (unique; stable once the result is materialised).
     """
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     scaled = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("vector"))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", F.size("vector").alias("dim"), "vector")
+    return rows.select("vec_id", F.monotonically_increasing_id().alias("row"), F.size("vector").alias("dim"), "vector")
 
 
 def _assign(roots: dict[int, np.ndarray], reach: dict[int, float]):
@@ -165,16 +171,16 @@ def _assign(roots: dict[int, np.ndarray], reach: dict[int, float]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = np.asarray(batch.column(1))
+            dims = np.asarray(batch.column(batch.schema.get_field_index("dim")))
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                x = _lift(lists(part.column(2)) if dim else np.zeros((part.num_rows, 0), np.int64), reach[int(dim)])
+                x = _lift(lists(part.column(part.schema.get_field_index("vector"))) if dim else np.zeros((part.num_rows, 0), np.int64), reach[int(dim)])
                 centres = roots[int(dim)]
                 square = np.einsum("ij,ij->i", x, x)[:, None] - 2 * x @ centres.T + np.einsum("ij,ij->i", centres, centres)
                 home = square.argmin(axis=1)
                 away = np.linalg.norm(x - centres[home], axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32)), pa.array(away)],
-                                                 names=["vec_id", "dim", "vector", "root", "away"])
+                                                 names=[*part.schema.names, "root", "away"])
 
     return run
 
@@ -188,7 +194,8 @@ def _route(roots: dict[int, np.ndarray], reach: dict[int, float], radius: dict[t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for vec_id, dim, vector, floor, home in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "vector", "floor", "home")), strict=True):
+            names = ("vec_id", "row", "dim", "vector", "floor", "home")
+            for vec_id, row, dim, vector, floor, home in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
                 x = np.append(np.array(vector, dtype=float), 0.0)
                 far = np.linalg.norm(roots[dim][cells[dim]] - x, axis=1)
                 if first:
@@ -196,11 +203,11 @@ def _route(roots: dict[int, np.ndarray], reach: dict[int, float], radius: dict[t
                 else:
                     limit = _limit(np.array([reach[dim] + x @ x]), np.array([floor]))
                     visit = cells[dim][_below(far - wide[dim], limit) & (cells[dim] != home)]
-                out += [(vec_id, dim, vector, floor, home if not first else r, r) for r in visit.tolist()]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32()]
+                out += [(vec_id, row, dim, vector, floor, home if not first else r, r) for r in visit.tolist()]
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                             names=["vec_id", "dim", "vector", "floor", "home", "root"])
+                                             names=[*names, "root"])
 
     return run
 
@@ -209,18 +216,20 @@ def _search(roots: dict[int, np.ndarray], reach: dict[int, float], k: int):
     """Cogroup: the candidates of a subtree, and the queries that come to it."""
 
     def run(key, candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_id", "query_row", "vec_id", "row", "score"]
         if not candidates.num_rows or not queries.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names=names)
+            return pa.table([pa.array([], pa.int64())] * 5, names=names)
         dim, root = key[0].as_py(), key[1].as_py()
         matrix = lambda t: lists(t.column("vector").combine_chunks()) if dim else np.zeros((t.num_rows, 0), np.int64)
-        tree = Tree(np.asarray(candidates.column("vec_id")), matrix(candidates), roots[dim][root], reach[dim])
-        ids, vectors, floors = np.asarray(queries.column("vec_id")), matrix(queries), np.asarray(queries.column("floor"))
+        tree = Tree(np.asarray(candidates.column("vec_id")), matrix(candidates), roots[dim][root], reach[dim], np.asarray(candidates.column("row")))
+        ids, keys = np.asarray(queries.column("vec_id")), np.asarray(queries.column("row"))
+        vectors, floors = matrix(queries), np.asarray(queries.column("floor"))
         out = []
         for a in range(0, len(ids), QUERIES):
             part = slice(a, a + QUERIES)
-            rows, found, score = tree.search(ids[part], vectors[part], floors[part], k)
-            out.append(pa.table([pa.array(ids[part][rows]), pa.array(found), pa.array(score)], names=names))
+            rows, found, score = tree.search(keys[part], vectors[part], floors[part], k)
+            out.append(pa.table([pa.array(ids[part][rows]), pa.array(keys[part][rows]), pa.array(tree.ids[found]),
+                                 pa.array(tree.keys[found]), pa.array(score)], names=names))
         return pa.concat_tables(out)
 
     return run
@@ -230,7 +239,9 @@ def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20, scale:
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products of every query vector.
 
     Queries are the vectors whose id is divisible by ``every``, candidates all others of the
-    same length, the query itself left out; ties go to the smaller id. The root entries of
+    same length, the query's own row left out; ties go to the smaller id. Rows that repeat an
+    id are separate rows: each is a candidate of the others, and a repeated query id gives one
+    list of up to ``k`` per row, all under that id. The root entries of
     the tree are a sample of at most ``roots`` vectors per length, chosen by a hash; every vector
     goes to the nearest one, and a root entry with many vectors is cut into subtrees of bounded
     size. A query searches the subtrees of its nearest root entry first; the k-th score there
@@ -243,7 +254,7 @@ def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20, scale:
     reach = {r["dim"]: r["reach"] for r in rows.groupBy("dim").agg(F.max(norm).alias("reach")).collect()}
     centres: dict[int, np.ndarray] = {}
     for dim, most in reach.items():
-        sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").select("vector").limit(roots).collect()
+        sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "row").select("vector").limit(roots).collect()
         centres[dim] = _lift(np.array([r["vector"] for r in sample], dtype=np.int64).reshape(len(sample), dim), most)
     schema = T.StructType([*rows.schema.fields, T.StructField("root", T.IntegerType()), T.StructField("away", T.DoubleType())])
     placed = cut_lineage(rows.mapInArrow(_assign(centres, reach), schema))
@@ -255,24 +266,24 @@ def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20, scale:
     queries = placed.where(F.col("vec_id") % every == 0)
     blocks = -(-queries.count() // QUERY_BLOCK)
     every_block = F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("block")
-    stored = placed.select("dim", "root", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"), every_block, "vec_id", "vector")
-    queries = queries.select("vec_id", "dim", "vector", F.lit(_NONE).alias("floor"), F.lit(-1).alias("home"))
-    routed = "vec_id long, dim int, vector array<long>, floor long, home int, root int"
+    stored = placed.select("dim", "root", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"), every_block, "vec_id", "row", "vector")
+    queries = queries.select("vec_id", "row", "dim", "vector", F.lit(_NONE).alias("floor"), F.lit(-1).alias("home"))
+    routed = "vec_id long, row long, dim int, vector array<long>, floor long, home int, root int"
     cell = ["dim", "root", "part", "block"]
 
     def searched(visits: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(max(blocks, 1))).cast("int")
+        block = F.pmod(F.xxhash64("row", F.lit(6)), F.lit(max(blocks, 1))).cast("int")
         visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))).withColumn("block", block)
         grouped = stored.groupBy(*cell).cogroup(visits.groupBy(*cell))
-        return grouped.applyInArrow(_search(centres, reach, k), "query_id long, vec_id long, score long")
+        return grouped.applyInArrow(_search(centres, reach, k), "query_id long, query_row long, vec_id long, row long, score long")
 
     homes = cut_lineage(queries.mapInArrow(_route(centres, reach, radius, True), routed))
     at_home = cut_lineage(searched(homes))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     best = at_home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
-    floors = best.select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    again = homes.drop("root", "floor").join(floors, "vec_id", "left").select(
-        "vec_id", "dim", "vector", F.coalesce("kth", F.lit(_NONE)).alias("floor"), "home")
+    floors = best.select(F.col("query_row").alias("row"), F.col("score").alias("kth"))
+    again = homes.drop("root", "floor").join(floors, "row", "left").select(
+        "vec_id", "row", "dim", "vector", F.coalesce("kth", F.lit(_NONE)).alias("floor"), "home")
     found = at_home.unionByName(searched(again.mapInArrow(_route(centres, reach, radius, False), routed)))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

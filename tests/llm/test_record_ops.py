@@ -281,23 +281,22 @@ def test_no_vectors(spark):
 def test_top_k_equals_brute_force(spark, monkeypatch, sizes):
     for name, value in zip(("ROOTS", "SUBTREE", "PAGE", "QUERIES", "QUERY_BLOCK"), sizes, strict=True):
         monkeypatch.setattr(mtree, name, value)
-    df, rows = odd_vectors(spark, extra=[(400, [3.0] * 16, 0), (400, [2.0] * 16, 0)])
-    whole = {}
-    for i, v, _ in rows:
-        if i is not None and good(v) and i not in (360, 361):
-            x = [math.floor(64 * c) for c in v]
-            whole[i] = min(whole.get(i, x), x)
+    df, rows = odd_vectors(spark, extra=[(400, [3.0] * 16, 0), (400, [2.0] * 16, 0), (420, [1.0] * 16, 0), (421, [4.0] * 16, 0),
+                                         (421, [0.5] * 16, 0), (421, [0.5] * 16, 0)])
+    whole = [(i, [math.floor(64 * c) for c in v]) for i, v, _ in rows if i is not None and good(v) and i not in (360, 361)]
     got = defaultdict(list)
     df = df.where("vec_id is null or vec_id not in (360, 361)")
     for r in mtree.top_inner_products(df, 20, 20, roots=sizes[0]).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    want = {}
-    for q, x in whole.items():
+    want = defaultdict(list)
+    for n, (q, x) in enumerate(whole):  # every row is a query of its own, and a candidate of all other rows
         if q % 20 == 0:
-            found = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in whole.items() if i != q and len(y) == len(x))[:20]
-            if found:
-                want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(found)]
-    assert {q: sorted(v) for q, v in got.items()} == want
+            found = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for m, (i, y) in enumerate(whole) if m != n and len(y) == len(x))[:20]
+            want[q] += [(r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items() if v}
+    ids = [v for _, v, _ in got[420]]
+    assert ids.count(421) == 3 and ids.count(400) == 2 and min(got[420]) == (1, 421, 64 * 256 * 16)
+    assert len(got[400]) == 2 * min(20, len(whole) - 1 - sum(len(y) != 16 for _, y in whole))
 
 
 def test_tree_passes_pages_over():
