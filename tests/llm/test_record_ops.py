@@ -37,6 +37,7 @@ def test_blocks_of_a_page():
     ("<article><p>x &am", "x &am"), ("<article><p>done</p><foot", "done"), ("<article><!-- c --><p>  x \n y</p></article>", "x y"),
     ("<main><div>1</div>2<div>3</div></main>", "1\n2\n3"), ("<article>a</article><article>b</article>", "a\nb"),
     ("<article>" + "<div>" * 3000 + "deep", "deep"), ("plain words only", "plain words only"),
+    ("<article><p>3 <", "3 <"), ("<article><p>a<", "a<"), ("<article><p>a <2", "a <2"), ("<article><p>a </", "a"), ("<article><p>a <!-", "a"),
 ])
 def test_odd_pages(source, text):
     blocks = html.page_blocks(source)
