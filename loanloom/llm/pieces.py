@@ -33,7 +33,6 @@ _PARTS = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 #: Streams of random numbers of one text.
 _SEGMENT, _OTHERS, _BRANCH, _FIRST = (np.uint64(x) for x in (0x1B873593, 0x2545F491, 0x38495AB5, 0x52DCE729))
 #: Probability below which what is left of a word's segmentations is lost in rounding.
-_LEAST = 1e-12
 #: Bytes of text whose lattices are held at once (whole texts, at least one).
 CHUNK = 1 << 20
 #: Bytes from the end of a part up to which its masses are far from underflow; beyond, logarithms are added.
@@ -245,11 +244,16 @@ def _uniform(seed: np.ndarray) -> np.ndarray:
     return ((_mixed(seed) >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52
 
 
-def sample_words(lattice: Lattice, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One segmentation of each word: edges one after the other, edges per word, log probability per word."""
+def sample_words(lattice: Lattice, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One segmentation of each word: edges one after the other, edges per word, log probability per word,
+    and the log probability of all its other segmentations.
+
+    The last is summed over the steps: the probability of the path so far times that of the
+    other edges at the step, added edge by edge; never 1 - p, which rounding turns to 0.
+    """
     state, end = lattice.start[words], lattice.end[words]
     index, logq, taken, step = np.arange(len(words)), np.zeros(len(words)), [], 0
-    count = np.zeros(len(words), dtype=np.int64)
+    count, rest = np.zeros(len(words), dtype=np.int64), np.zeros(len(words))
     while len(index):
         draw = _uniform(seeds[index] + _nth(step))
         edge = lattice.first[state].copy()
@@ -257,6 +261,12 @@ def sample_words(lattice: Lattice, words: np.ndarray, seeds: np.ndarray) -> tupl
         while len(on):
             edge[on] += 1
             on = on[draw[on] >= lattice.cum[edge[on]]]
+        first, n = lattice.first.take(state), lattice.count.take(state)
+        beside = np.zeros(len(index))
+        for j in range(int(n.max(initial=0))):
+            near = np.flatnonzero((n > j) & (first + j != edge))
+            beside[near] += lattice.p.take(first.take(near) + j)
+        rest[index] += np.exp(logq[index]) * beside
         logq[index] += np.log(lattice.p.take(edge))
         taken.append((index, edge))
         count[index] += 1
@@ -267,18 +277,45 @@ def sample_words(lattice: Lattice, words: np.ndarray, seeds: np.ndarray) -> tupl
     edges = np.empty(first[-1], dtype=np.int64)
     for step, (index, edge) in enumerate(taken):
         edges[first[:-1][index] + step] = edge
-    return edges, count, logq
+    with np.errstate(divide="ignore"):
+        return edges, count, logq, np.log(rest)
+
+
+def _known_trie(lattice: Lattice, word: int, known: list[list[int]]) -> tuple[list[dict[int, int]], list[float]]:
+    """The trie of the ``known`` segmentations of ``word``: children by edge, and at each node the
+    probability of the completions from there that are not known, summed edge by edge, never 1 - p."""
+    states, kids = [int(lattice.start[word])], [{}]
+    for path in known:
+        node = 0
+        for e in path:
+            if e not in kids[node]:
+                kids[node][e] = len(kids)
+                kids.append({})
+                states.append(int(lattice.to[e]))
+            node = kids[node][e]
+    left = [0.0] * len(kids)
+    for node in reversed(range(len(kids))):  # children come after their parents; a known end leaves nothing
+        first, n = int(lattice.first[states[node]]), int(lattice.count[states[node]])
+        left[node] = sum(float(lattice.p[e]) * (left[kids[node][e]] if e in kids[node] else 1.0) for e in range(first, first + n))
+    return kids, left
+
+
+def left_beside(lattice: Lattice, word: int, known: list[list[int]]) -> float:
+    """The probability of the segmentations of ``word`` other than the ``known`` ones."""
+    return _known_trie(lattice, word, known)[1][0]
 
 
 def other_segmentation(lattice: Lattice, word: int, known: list[list[int]], draws: list[float], seed: np.ndarray) -> tuple[list[int], float]:
     """A segmentation of the word other than the known ones, and its log probability; ``draws`` are for the first steps."""
     state, end, path, logq, step = int(lattice.start[word]), int(lattice.end[word]), [], 0.0, 0
-    alive = [(list(k), float(lattice.p[k].prod())) for k in known]  # what is left of each, with its probability
+    kids, left = _known_trie(lattice, word, known)
+    node: int | None = 0  # in the trie of the known ones, until the path leaves it
     while state < end:
         first = int(lattice.first[state])
         edges = range(first, first + int(lattice.count[state]))
         p = lattice.p[first : first + len(edges)].tolist()
-        free = [max(0.0, q - sum(w for k, w in alive if k[0] == e)) for e, q in zip(edges, p, strict=True)]
+        there = kids[node] if node is not None else {}
+        free = [q * (left[there[e]] if e in there else 1.0) for e, q in zip(edges, p, strict=True)]
         draw = (draws[step] if step < len(draws) else float(_uniform(seed + _nth(step))[0])) * sum(free)
         pick = max(range(len(free)), key=free.__getitem__)
         for i, f in enumerate(free):
@@ -286,8 +323,8 @@ def other_segmentation(lattice: Lattice, word: int, known: list[list[int]], draw
                 pick = i
                 break
             draw -= f
-        edge, q = first + pick, p[pick]
-        alive = [(k[1:], w / q) for k, w in alive if k[0] == edge]
+        edge = first + pick
+        node = there.get(edge)
         path.append(edge)
         logq += float(np.log(lattice.p[edge]))
         state, step = int(lattice.to[edge]), step + 1
@@ -321,17 +358,11 @@ def _largest_of_rest(log_mass: np.ndarray, limit: np.ndarray, draw: np.ndarray)
     return np.where(np.isfinite(log_mass), np.minimum(value, limit), -np.inf)
 
 
-def _rest(p: np.ndarray) -> np.ndarray:
-    """Log of what is left beside probability ``p``."""
-    with np.errstate(divide="ignore"):
-        return np.where(1.0 - p > _LEAST, np.log(np.maximum(1.0 - p, 1e-300)), -np.inf)
-
-
 def sample_segmentations(texts: list[bytes], seeds: np.ndarray, vocab: Vocabulary, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to ``k`` distinct segmentations: piece ids, log probability, perturbed value, log inclusion score.
 
-    Of a word, choices that have less than 1e-12 of its probability together are out of reach:
-    what is left beside the others is then lost in rounding. The inclusion score is the probability of being among the k given the largest value
+    What is left of a word beside the choices drawn is summed from the other edges, so that
+    choices of a tiny probability stay within reach. The inclusion score is the probability of being among the k given the largest value
     that is not; it is 1 where all segmentations are drawn. An empty text has one, without pieces.
     """
     parts = [_PARTS.findall(b" " + t) if t else [] for t in texts]
@@ -348,11 +379,11 @@ def sample_segmentations(texts: list[bytes], seeds: np.ndarray, vocab: Vocabular
     seeds = _mixed(seeds.view(np.uint64))
     stream = lambda name, line: _mixed(_mixed(seeds + name + _nth(line))[owner] + place * np.uint64(0xD1B54A32D192ED03))
 
-    edges, sizes, logq = sample_words(lattice, flat, stream(_SEGMENT, 0))
+    edges, sizes, logq, left = sample_words(lattice, flat, stream(_SEGMENT, 0))
     top = -np.log(-np.log(_uniform(seeds + _FIRST)))
     running = np.concatenate(([0.0], np.cumsum(logq)))
     before = running[:-1] - running[base[owner]]
-    others = _largest_of_rest(before + _rest(np.exp(logq)), top[owner], _uniform(stream(_OTHERS, 0)))
+    others = _largest_of_rest(before + left, top[owner], _uniform(stream(_OTHERS, 0)))
     token = np.concatenate(([0], np.cumsum(sizes)))
     lines: list[list[_Line]] = []
     for d, n in enumerate(counts):
@@ -365,7 +396,7 @@ def sample_segmentations(texts: list[bytes], seeds: np.ndarray, vocab: Vocabular
             break
         branch = _mixed(seeds + _BRANCH + _nth(r))
         fresh_words = np.concatenate([np.arange(base[d] + j + 1, base[d + 1]) for d, _, j in grown])
-        tail_edges, tail_sizes, tail_logq = sample_words(lattice, flat[fresh_words], stream(_SEGMENT, r)[fresh_words])
+        tail_edges, tail_sizes, tail_logq, tail_left = sample_words(lattice, flat[fresh_words], stream(_SEGMENT, r)[fresh_words])
         docs, j = np.array([d for d, _, _ in grown]), np.array([j for _, _, j in grown])
         size = counts[docs]
         local = np.concatenate(([0], np.cumsum(size)))  # the words of these texts, one after the other
@@ -382,8 +413,10 @@ def sample_segmentations(texts: list[bytes], seeds: np.ndarray, vocab: Vocabular
         logs[tail], logs[turn] = tail_logq, [q for _, q in paths]
         running = np.concatenate(([0.0], np.cumsum(logs)))
         ahead = running[:-1] - running[local[own]]
-        rest = np.where(tail, ahead + _rest(np.exp(logs)), -np.inf)
-        rest[turn] = ahead[turn] + _rest(np.array([sum(float(lattice.p[x].prod()) for x in k) for k in known]))
+        rest = np.full(len(logs), -np.inf)
+        rest[tail] = ahead[tail] + tail_left
+        with np.errstate(divide="ignore"):
+            rest[turn] = ahead[turn] + np.log([left_beside(lattice, int(flat[base[d] + w]), k) for (d, _, w), k in zip(grown, known, strict=True)])
         values = np.array([parent.others[w] for _, parent, w in grown])
         beyond = _largest_of_rest(rest, values[own], _uniform(stream(_OTHERS, r))[base[docs][own] + at - local[own]])
         token, t = np.concatenate(([0], np.cumsum(tail_sizes))), 0

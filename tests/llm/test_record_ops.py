@@ -355,8 +355,27 @@ def test_draws_follow_the_distribution_without_replacement(vocab):
 def test_all_segmentations_come_when_asked_for(vocab):
     known = all_segmentations(b" there", vocab)
     (drawn,) = pieces.sample_segmentations([b"there"], np.array([5], dtype=np.int64), vocab, len(known) + 5)
-    assert sum(p > 1e-10 for p in known.values()) <= len(drawn) <= len(known) and drawn[0][3] == 0.0
+    assert len(drawn) == len(known) and drawn[0][3] == 0.0  # the tiny ones too: what is left is summed, not 1 - p
     assert len({tuple(x[0].tolist()) for x in drawn}) == len(drawn)
+    assert min(known.values()) < 1e-12
+
+
+def test_left_beside_known_ones(vocab):
+    known = all_segmentations(b" there", vocab)
+    lattice = pieces.build_lattice([b" there"], vocab)
+
+    def edges_of(ids):
+        state, out = int(lattice.start[0]), []
+        for i in ids:
+            (e,) = [e for e in range(int(lattice.first[state]), int(lattice.first[state] + lattice.count[state])) if lattice.piece[e] == i]
+            out.append(e)
+            state = int(lattice.to[e])
+        return out
+
+    order = sorted(known, key=known.get, reverse=True)
+    for m in (1, 2, 5, len(order) - 1, len(order)):
+        want = sum(known[s] for s in order[m:])
+        assert abs(pieces.left_beside(lattice, 0, [edges_of(s) for s in order[:m]]) - want) <= 1e-15 + 1e-9 * want
 
 
 def test_texts_come_back(spark, vocab, monkeypatch):
