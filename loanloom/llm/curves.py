@@ -6,12 +6,15 @@ becomes ``[x / M, sqrt(1 - |x / M|^2)]`` with ``M`` the largest norm, a query ``
 candidates by ``q . x``. Each curve projects the lifted vectors onto a few random directions,
 shifts them by a random vector, quantises them and orders them along a Hilbert curve. Spark
 range-partitions every curve by its key, numbers the rows in key order, and cuts the order into
-windows of ``window`` rows; a query meets the candidates of its own window and of the two
+windows of ``window`` rows; a query meets the candidates of its own window and of the
 neighbouring windows of every curve. Those candidates are reranked by the exact inner product in
 double precision, and the best ``k`` of all curves are kept.
 
-Work per query is fixed by ``curves`` and ``window``, whatever the size of the table; recall
-depends on how clustered the vectors are (measured figures in the README).
+How many neighbouring windows are met is measured, not fixed: up to ``PROBES`` queries are
+compared with every row, their true ``k`` nearest are looked up on the curves, and the fewest
+windows are taken that hold ``RECALL`` of them. Clustered vectors need one window on either side; vectors
+without any structure may need all windows, which is the comparison with every row. Of equal vectors only the
+``k + 1`` first by vec_id are candidates, since no other can be among the ``k`` best.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from loanloom.llm.common import fresh, row_id, written
 CURVES, WINDOW, DIMS, BITS, SEED = 16, 256, 4, 15, 13
 #: Rows of the keyed table per range partition.
 PART_ROWS = 200_000
+#: Queries whose true neighbours are known, the share of these to be met, rows of a widened window, scores at once.
+PROBES, RECALL, WIDE_WINDOW, TILE_SCORES = 128, 0.96, 4096, 2_000_000
 
 _ROWS = "t int, key long, rk long, vec_id long, q boolean, vec binary"
 
@@ -112,25 +117,27 @@ def nearest_inner_products(vectors: DataFrame, every: int = 20, k: int = 20, cur
     dim, largest = int(common["d"]), float(common["m"])
     projections, shifts = curve_setup(dim, curves, dims, seed)
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if b.empty:
-                continue
-            x = np.stack(b[e].to_numpy()).astype(np.float64)
-            packed = [np.asarray(v, np.float64).tobytes() for v in b[e]]
-            ids = b["vec_id"].astype("Int64").array
-            asks = ((b["vec_id"].astype("Int64") % every) == 0).fillna(False).to_numpy(dtype=bool)
-            cand, ask = lifted(x, largest, query=False), lifted(x[asks], largest, query=True)
-            for t in range(curves):
-                out = pd.DataFrame({"t": t, "key": keys_of(cand, projections[t], shifts[t]), "rk": b[rk].to_numpy(),
-                                    "vec_id": ids, "q": False, "vec": packed})
-                if asks.any():
-                    out = pd.concat([out, pd.DataFrame({"t": t, "key": keys_of(ask, projections[t], shifts[t]),
-                                                        "rk": b[rk].to_numpy()[asks], "vec_id": ids[asks], "q": True,
-                                                        "vec": [p for p, a in zip(packed, asks) if a]})])
-                yield out
-
-    rows = base.where(F.size(e) == dim).select("vec_id", rk, e).mapInPandas(keyed, _ROWS)
+    full = base.where(F.size(e) == dim).select("vec_id", rk, e)
+    asking = full.where(F.col("vec_id") % every == 0)
+    # of equal vectors a query keeps k at most, and its own row is not among them
+    first = W.partitionBy(e).orderBy(F.col("vec_id").asc_nulls_last(), rk)
+    at = fresh("at", vectors.columns)
+    offering = full.withColumn(at, F.row_number().over(first)).where(F.col(at) <= k + 1).drop(at)
+
+    def keyed(query: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if b.empty:
+                    continue
+                x = np.stack(b[e].to_numpy()).astype(np.float64)
+                packed, ids = [v.tobytes() for v in x], b["vec_id"].astype("Int64").array
+                points = lifted(x, largest, query)
+                for t in range(curves):
+                    yield pd.DataFrame({"t": t, "key": keys_of(points, projections[t], shifts[t]), "rk": b[rk].to_numpy(),
+                                        "vec_id": ids, "q": query, "vec": packed})
+        return run
+
+    rows = offering.mapInPandas(keyed(False), _ROWS).unionByName(asking.mapInPandas(keyed(True), _ROWS))
     count = int(common["n"]) * curves * (1 + 1.0 / every)
     parts = max(1, int(np.ceil(count / PART_ROWS)))
     ranged = rows.repartitionByRange(parts, "t", "key", "rk", "q").sortWithinPartitions("t", "key", "rk", "q")
@@ -139,10 +146,16 @@ def nearest_inner_products(vectors: DataFrame, every: int = 20, k: int = 20, cur
     counts = placed.groupBy("pid", "t").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(W.partitionBy("t").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("pid", "t", before.alias("offset"))
-    block = ((F.col("offset") + F.col("local")) / window).cast("long")
-    # a query also visits the two neighbouring windows; candidates stay in their own
-    spread = F.when(F.col("q"), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    blocks = (placed.join(offsets, ["pid", "t"]).withColumn("step", F.explode(spread))
+    place = ((F.col("offset") + F.col("local")) / window).cast("long")
+    placed = placed.join(F.broadcast(offsets), ["pid", "t"]).withColumn("block", place)
+    used, reach = _reach(placed, _probed(offering, asking, rk, e, k), curves)
+    # far windows are met as few wide ones, so that a query travels a few times only
+    wide = min(reach, max(1, WIDE_WINDOW // window))
+    steps = -(-reach // wide)
+    block = F.floor(F.col("block") / wide).cast("long")
+    # a query also visits the neighbouring windows; candidates stay in their own
+    spread = F.when(F.col("q"), F.sequence(F.lit(-steps), F.lit(steps))).otherwise(F.array(F.lit(0)))
+    blocks = (placed.where(F.col("t") < used).withColumn("step", F.explode(spread))
               .select("t", (block + F.col("step")).alias("block"), "rk", "vec_id", "q", "vec"))
     found = blocks.groupBy("t", "block").applyInPandas(_best(k), "qrk long, query_id long, crk long, vec_id long, score double")
     found = found.dropDuplicates(["qrk", "crk"])
@@ -165,6 +178,62 @@ def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(local=local)
 
 
+def _probed(offering: DataFrame, asking: DataFrame, rk: str, e: str, k: int) -> DataFrame:
+    """``qrk, crk``: the true ``k`` nearest rows of up to ``PROBES`` queries, by comparison with every row."""
+    probes = asking.orderBy(F.xxhash64(rk), rk).limit(PROBES).collect()
+    asks = np.array([r[e] for r in probes], np.float64)
+    keys = np.array([r[rk] for r in probes], np.int64)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if b.empty:
+                continue
+            ids, own = b["vec_id"].astype("float64").fillna(np.inf).to_numpy(), b[rk].to_numpy()
+            scores = asks @ np.stack(b[e].to_numpy()).astype(np.float64).T
+            scores[keys[:, None] == own[None, :]] = -np.inf
+            tops = [_top(s, ids, own, k) for s in scores]
+            picked = np.concatenate(tops)
+            yield pd.DataFrame({"qrk": np.repeat(keys, [len(t) for t in tops]), "crk": own[picked],
+                                "vec_id": b["vec_id"].astype("Int64").array[picked],
+                                "score": np.concatenate([s[t] for s, t in zip(scores, tops)])})
+
+    if not probes:
+        return offering.sparkSession.createDataFrame([], "qrk long, crk long")
+    order = W.partitionBy("qrk").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "crk")
+    found = offering.mapInPandas(nearest, "qrk long, crk long, vec_id long, score double")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qrk", "crk")
+
+
+def _reach(placed: DataFrame, true: DataFrame, curves: int) -> tuple[int, int]:
+    """Curves and windows on either side that hold ``RECALL`` of the known neighbours at the least work."""
+    pairs = [(r["qrk"], r["crk"]) for r in true.collect()]  # PROBES * k at most
+    if not pairs:
+        return curves, 1
+    spark = placed.sparkSession
+    wanted = spark.createDataFrame([(q, True) for q in {q for q, _ in pairs}] + [(c, False) for c in {c for _, c in pairs}], "rk long, q boolean")
+    at = {(r["t"], r["q"], r["rk"]): r["block"]
+          for r in placed.join(F.broadcast(wanted), ["rk", "q"]).select("t", "q", "rk", "block").collect()}
+    windows = placed.agg(F.max("block")).first()[0] + 1
+    need = np.array([[abs(at[t, True, q] - at[t, False, c]) for t in range(curves)] for q, c in pairs])
+    need = np.minimum.accumulate(need, axis=1)  # by the number of curves used
+    enough = int(np.ceil(RECALL * len(pairs))) - 1
+    reach = np.maximum(1, np.sort(need, axis=0)[enough])
+    if reach[-1] == 1:
+        return curves, 1
+    work = np.arange(1, curves + 1) * np.minimum(2 * reach + 1, windows)
+    if work.min() >= windows:  # one curve that is met as a whole costs no more and misses nothing
+        return 1, int(windows)
+    best = int(work.argmin())
+    return best + 1, int(reach[best])
+
+
+def _top(scores: np.ndarray, ids: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` largest finite scores, equal ones by id, then key."""
+    near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) > k else np.arange(len(scores))
+    near = near[np.isfinite(scores[near])]
+    return near[np.lexsort((keys[near], ids[near], -scores[near]))[:k]]
+
+
 def _best(k: int):
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         asks, offers = rows[rows["q"]], rows[~rows["q"]]
@@ -172,17 +241,16 @@ def _best(k: int):
             return pd.DataFrame({"qrk": [], "query_id": [], "crk": [], "vec_id": [], "score": []})
         a = np.stack([np.frombuffer(v, np.float64) for v in asks["vec"]])
         c = np.stack([np.frombuffer(v, np.float64) for v in offers["vec"]])
-        scores = a @ c.T
-        scores[asks["rk"].to_numpy()[:, None] == offers["rk"].to_numpy()[None, :]] = -np.inf
-        take = min(k, len(offers))
-        out = []
-        cid = offers["vec_id"].astype("float64").to_numpy()
-        cids = offers["vec_id"].astype("Int64").array
-        for i in range(len(asks)):
-            s = scores[i]
-            top = np.lexsort((np.nan_to_num(cid, nan=np.inf), -s))[:take]
-            top = top[np.isfinite(s[top])]
-            out.append(pd.DataFrame({"qrk": asks["rk"].iloc[i], "query_id": asks["vec_id"].iloc[i],
-                                     "crk": offers["rk"].to_numpy()[top], "vec_id": cids[top], "score": s[top]}))
-        return pd.concat(out)
+        own, offered = asks["rk"].to_numpy(), offers["rk"].to_numpy()
+        ids = offers["vec_id"].astype("float64").fillna(np.inf).to_numpy()
+        tile, out = max(1, TILE_SCORES // len(c)), []
+        for start in range(0, len(a), tile):
+            scores = a[start : start + tile] @ c.T
+            scores[own[start : start + tile, None] == offered[None, :]] = -np.inf
+            for i, s in enumerate(scores, start):
+                top = _top(s, ids, offered, k)
+                out.append((np.full(len(top), i), top, s[top]))
+        i, top, score = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"qrk": own[i], "query_id": asks["vec_id"].astype("Int64").array[i], "crk": offered[top],
+                             "vec_id": offers["vec_id"].astype("Int64").array[top], "score": score})
     return best

@@ -71,3 +71,25 @@ def test_recall_of_the_query_against_brute_force(spark):
     scores[np.arange(len(asks)), asks] = -np.inf
     recall = np.mean([len(set(ids[np.lexsort((ids, -scores[a]))[:20]]) & got.get(ids[i], set())) / 20 for a, i in enumerate(asks)])
     assert recall >= 0.9
+
+
+def recall(spark, x, **options):
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got = {}
+    for r in nearest_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asks = np.arange(0, len(x), 20)
+    scores = x[asks] @ x.T
+    scores[np.arange(len(asks)), asks] = -np.inf
+    return np.mean([len(set(np.argsort(-s, kind="stable")[:20]) & got[a]) / 20 for a, s in zip(asks, scores)])
+
+
+def test_vectors_without_structure_are_found_by_wider_windows(spark):
+    x = np.random.default_rng(5).standard_normal((3000, 48))
+    assert recall(spark, x, curves=4, window=32) >= 0.9
+
+
+def test_a_very_common_vector_hides_no_neighbour(spark):
+    x = np.random.default_rng(6).standard_normal((1500, 16))
+    x[200:1200] = x[200] * 2
+    assert recall(spark, x, curves=4, window=32) >= 0.9
