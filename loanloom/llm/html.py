@@ -21,6 +21,9 @@ LENGTH = 6
 SHARE = 0.5
 #: A block is boilerplate if at most this share of its words, and fewer than ``LENGTH``, is outside such runs.
 LEFT_OVER = 0.2
+#: A block inside an article is boilerplate only if as a whole it is on this many distinct pages of the host, too, and
+#: such blocks hold at most this share of the words of the article: beyond that the pages are copies of one article.
+ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.5
 #: Fixed values of HTML: elements without an end tag, without text, that open a block of their
 #: own, and that hold no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,8 +68,9 @@ _NUMBER = re.compile(r"[-_]?[0-9]+\Z")
 
 #: Text is inside the article, elsewhere, marked, inside a form, or marked and no article starts there.
 CORE, OTHER, MARKED, FORM, SHUT = range(5)
-#: In place of a position: the row of a page with or without an article.
-ARTICLE, OPEN = -1, -2
+#: In place of a position: the row of a page with or without an article, and of the first block inside an article;
+#: the further blocks count on downwards.
+ARTICLE, OPEN, INSIDE = -1, -2, -3
 
 
 class _Blocks(HTMLParser):
@@ -204,6 +208,16 @@ def _open_words(blocks: list[tuple[int, str]]) -> list[str]:
     return [w for zone, text in blocks if zone != CORE for w in text.split()]
 
 
+def block_keys(blocks: list[tuple[int, str]], host: str, length: int) -> list[tuple[int, int]]:
+    """``(block, key)`` of the suffix at the first word of every block inside the article, cut where the block ends.
+
+    Blocks of fewer than ``length`` words have none; blocks are numbered inside the article.
+    """
+    seed = xxhash.xxh3_64_intdigest(host.encode())
+    inside = (text for zone, text in blocks if zone == CORE)
+    return [(i, xxhash.xxh3_64_intdigest(text.encode(), seed)) for i, text in enumerate(inside) if text.count(" ") + 1 >= length]
+
+
 def page_key(blocks: list[tuple[int, str]], host: str) -> int:
     """A key of what a page says on a host; copies that differ in marked blocks only have the same."""
     said = "\n".join(text for zone, text in blocks if zone in (CORE, OTHER))
@@ -215,7 +229,8 @@ def _signed(keys: list[int]) -> pa.Array:
 
 
 def _stream(length: int):
-    """The suffixes of every page, and before them one row of the page itself (``at`` is ARTICLE or OPEN)."""
+    """The suffixes of every page, and before them one row of the page itself (``at`` is ARTICLE or OPEN)
+    and one of every block inside its article (``at`` is INSIDE less the block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,12 +238,13 @@ def _stream(length: int):
             for row, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 blocks, host = page_blocks(page), host_of(url)
                 found = suffix_keys(_open_words(blocks), host, length)
-                n = len(found) + 1
+                inside = block_keys(blocks, host, length)
+                n = len(found) + len(inside) + 1
                 rows += [row] * n
                 hosts += [xxhash.xxh3_64_intdigest(host.encode())] * n
                 keys += [page_key(blocks, host)] * n
-                suffixes += [0, *found]
-                at += [OPEN if article_text(blocks) is None else ARTICLE, *range(n - 1)]
+                suffixes += [0, *(key for _, key in inside), *found]
+                at += [OPEN if article_text(blocks) is None else ARTICLE, *(INSIDE - i for i, _ in inside), *range(len(found))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), _signed(hosts), _signed(keys), _signed(suffixes), pa.array(at, pa.int32())],
                                              names=["row", "host", "page", "suffix", "at"])
 
@@ -248,6 +264,14 @@ def article_text(blocks: list[tuple[int, str]]) -> str | None:
     return "\n".join(kept) if kept else None
 
 
+def uncovered_article(blocks: list[str], repeated: set[int]) -> str:
+    """The blocks of an article but for the ``repeated`` ones, unless these hold too much of it."""
+    sizes = [len(text.split()) for text in blocks]
+    if sum(sizes[i] for i in repeated) > ARTICLE_SHARE * sum(sizes):
+        repeated = set()
+    return "\n".join(text for i, text in enumerate(blocks) if i not in repeated)
+
+
 def uncovered_text(blocks: list[tuple[int, str]], covered: np.ndarray) -> str:
     """The blocks that are not marked, each as a whole, without those that consist of covered words."""
     gone, kept, at = set(covered.tolist()), [], 0
@@ -261,24 +285,27 @@ def uncovered_text(blocks: list[tuple[int, str]], covered: np.ndarray) -> str:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The article of a page, or all its blocks if it has none."""
+    """The blocks of the article of a page, or all its blocks if it has none."""
     for batch in batches:
         found = [page_blocks(page) for page in batch.column(2).to_pylist()]
-        texts = [article_text(f) for f in found]
-        left = [[] if t is not None else f for t, f in zip(texts, found, strict=True)]
+        kept = [[b for b in f if b[0] == CORE] or f for f in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([[z for z, _ in f] for f in left], pa.list_(pa.int32())),
-             pa.array([[t for _, t in f] for f in left], pa.list_(pa.string()))], names=[*batch.schema.names[:2], "article", "zones", "blocks"])
+            [batch.column(0), batch.column(1), pa.array([[z for z, _ in f] for f in kept], pa.list_(pa.int8())),
+             pa.array([[t for _, t in f] for f in kept], pa.list_(pa.string()))], names=[*batch.schema.names[:2], "zones", "blocks"])
 
 
 def _assemble(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, repeated = [], []
-            for article, zones, blocks, starts, wide in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
-                found = list(zip(zones, blocks, strict=True))
-                texts.append(article if article is not None else uncovered_text(found, covered_words(wide, length)))
-                repeated.append(len(covered_words(starts, length)))
+            for zones, blocks, starts, wide in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                wide = wide or []
+                if CORE in zones:
+                    texts.append(uncovered_article(blocks, {INSIDE - at for at in wide if at <= INSIDE}))
+                else:
+                    found = list(zip(zones, blocks, strict=True))
+                    texts.append(uncovered_text(found, covered_words([at for at in wide if at >= 0], length)))
+                repeated.append(len(covered_words([at for at in starts or [] if at >= 0], length)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(repeated, pa.int64())],
                 names=[batch.schema.names[0], "text", "n_chars", "n_repeated"])
@@ -291,7 +318,7 @@ def _wide_runs(suffixes: DataFrame) -> DataFrame | None:
 
     Only hosts that have a page without an article are counted.
     """
-    counted = suffixes.where(F.col("at") < 0).groupBy("host").agg(F.count_distinct("page").alias("n_pages"), F.min("at").alias("least"))
+    counted = suffixes.where(F.col("at").isin(ARTICLE, OPEN)).groupBy("host").agg(F.count_distinct("page").alias("n_pages"), F.min("at").alias("least"))
     hosts = written(counted.where(F.col("least") == OPEN).select("host", "n_pages"), "hosts")
     if hosts.isEmpty():
         return None
@@ -300,6 +327,22 @@ def _wide_runs(suffixes: DataFrame) -> DataFrame | None:
     return counts.where((F.col("n") >= 2) & (F.col("n") > F.col("n_pages") * SHARE)).select("suffix", F.lit(True).alias("wide"))
 
 
+def _wide_blocks(suffixes: DataFrame) -> DataFrame | None:
+    """``row`` and ``at`` of the blocks inside articles that are on ``ARTICLE_PAGES`` and on more than ``SHARE`` of the
+    distinct pages of their host; None if there are none.
+
+    Most blocks are on one page only and drop out before pages are counted.
+    """
+    inside = suffixes.where(F.col("at") <= INSIDE)
+    seen = inside.groupBy("suffix").agg(F.min("page").alias("low"), F.max("page").alias("high"))
+    again = written(seen.where("low <> high").select("suffix"), "blocks")
+    held = inside.join(again, "suffix").select("host", "suffix", "page").distinct()
+    counts = held.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.max("host").alias("host")).where(F.col("n") >= ARTICLE_PAGES)
+    pages = suffixes.where(F.col("at").isin(ARTICLE, OPEN)).select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    wide = written(counts.join(pages, "host").where(F.col("n") > F.col("n_pages") * SHARE).select("suffix"), "wide")
+    return None if wide.isEmpty() else inside.join(wide, "suffix").select("row", "at")
+
+
 def extract_text(pages: DataFrame, length: int = LENGTH) -> DataFrame:
     """``pages`` without ``html``, with ``text``, its ``n_chars`` and ``n_repeated``.
 
@@ -310,8 +353,9 @@ def extract_text(pages: DataFrame, length: int = LENGTH) -> DataFrame:
     menu that holds most pages fills no task. ``n_repeated`` counts the words that such
     substrings cover, on copies of a page, too.
 
-    The text inside ``article`` or ``main`` is kept however often it repeats, since copies of an
-    article are articles, too; elements that are menus, headers, footers, adverts, notices,
+    Of the text inside ``article`` or ``main`` a block goes only if the suffix that is the whole of it
+    is on ``ARTICLE_PAGES`` and on more than ``SHARE`` of the distinct pages of the host, and never more than
+    ``ARTICLE_SHARE`` of an article, since near copies of an article are articles, too; elements that are menus, headers, footers, adverts, notices,
     forms, scripts or comments by their name, role or whole class are never text, but for an
     article inside a wrapper that is no menu, side bar, footer, advert or comments. What a page without
     an article element has besides is its text, but for the blocks that consist of substrings on
@@ -334,10 +378,14 @@ def extract_text(pages: DataFrame, length: int = LENGTH) -> DataFrame:
     intervals = intervals.withColumn("wide", F.lit(False)) if wide is None else intervals.join(wide, "suffix", "left")
     starts = words.join(intervals, "suffix").groupBy("row").agg(
         F.collect_list("at").alias("starts"), F.collect_list(F.when(F.col("wide"), F.col("at"))).alias("wide"))
+    blocks = _wide_blocks(suffixes)
+    if blocks is not None:
+        blocks = blocks.groupBy("row").agg(F.lit(None).cast("array<int>").alias("starts"), F.collect_list("at").alias("wide"))
+        starts = starts.unionByName(blocks).groupBy("row").agg(
+            F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("wide")).alias("wide"))
     parsed = keyed.select(F.struct(*rest).alias(about), F.col(row).alias("row"), page)
-    schema = T.StructType([parsed.schema[about], T.StructField("row", T.LongType()), T.StructField("article", T.StringType()),
-                           T.StructField("zones", T.ArrayType(T.IntegerType())), T.StructField("blocks", T.ArrayType(T.StringType()))])
-    joined = parsed.mapInArrow(_parse, schema).join(starts, "row", "left").select(about, "article", "zones", "blocks", "starts", "wide")
+    schema = T.StructType([parsed.schema[about], T.StructField("row", T.LongType()), T.StructField("zones", T.ArrayType(T.ByteType())), T.StructField("blocks", T.ArrayType(T.StringType()))])
+    joined = parsed.mapInArrow(_parse, schema).join(starts, "row", "left").select(about, "zones", "blocks", "starts", "wide")
     found = T.StructType([parsed.schema[about], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()),
                           T.StructField("n_repeated", T.LongType())])
     return joined.mapInArrow(_assemble(length), found).select(f"{about}.*", "text", "n_chars", "n_repeated")

@@ -99,6 +99,21 @@ def test_copied_pages_keep_their_text(spark):
     assert [got[10 + i] for i in range(4)] == [story] * 4 and got[20] == "another page"
 
 
+def test_blocks_that_a_host_repeats_go_from_its_articles(spark):
+    letter, few = "get our weekly letter and never miss a story", "a line that only half of the articles have"
+    story = lambda h, i: f"{h}{i} " + " ".join(f"w{i}x{j}" for j in range(30))
+    article = lambda *p: "<article>" + "".join(f"<p>{x}</p>" for x in p) + "</article>"
+    said = {("a", i): [story("a", i), *([few] if i < 10 else []), letter, "the end"] for i in range(20)}
+    said |= {("b", i): [story("b", i), letter] for i in range(9)}  # too few pages to tell
+    said |= {("c", i): [" ".join(f"same{j}" for j in range(40)), f"edit {i} of the one story here"] for i in range(20)}  # near copies
+    rows = [(n, f"http://{h}.org/{i}", article(*p)) for n, ((h, i), p) in enumerate(said.items())]
+    rows += [(len(said) + i, f"http://b.org/again{i}", article(*said["b", 0])) for i in range(30)]  # copies count once
+    got = {r["page_id"]: r for r in html.extract_text(pages(spark, rows)).collect()}
+    for n, ((h, _), p) in enumerate(said.items()):
+        assert got[n]["text"] == "\n".join(x for x in p if h != "a" or x != letter) and got[n]["n_repeated"] == 0
+    assert got[len(said)]["text"] == "\n".join(said["b", 0])
+
+
 @pytest.mark.parametrize("size", [6, 60])
 def test_prose_stays_whole_on_a_growing_host(spark, size):
     menu = "<ul><li>home<li>about us<li>contact imprint<li>terms help</ul>"
