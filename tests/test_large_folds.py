@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loanloom.operators.partitions import PART_ROWS, spread_book
-from loanloom.operators.quantiles import _bracket_counter, exact_quantiles
+from loanloom.operators import quantiles
+from loanloom.operators.quantiles import _bracket_counter, _bounds, _summaries, exact_quantiles
 
 
 def test_a_large_book_is_dealt_by_its_rows(spark):
@@ -36,3 +37,29 @@ def test_bracketed_quantiles_of_many_columns_are_exact(spark):
     got = exact_quantiles(df, names, grid, single_pass_rows=0, accuracy=100)
     for i, c in enumerate(names):
         assert np.allclose(got[c], np.quantile(x[~np.isnan(x[:, i]), i], grid), rtol=0, atol=1e-9)
+
+
+def test_summaries_of_many_tasks_enclose_every_rank(monkeypatch):
+    monkeypatch.setattr(quantiles, "SUMMARY_ROWS", 50)
+    rng = np.random.default_rng(2)
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for x in (rng.standard_normal(3001), np.repeat([1.0, 2.0], 500), np.array([3.0]), np.concatenate((np.zeros(900), rng.random(90), [np.inf]))):
+        parts = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 20]), pa.nulls(len(x[i : i + 20]), pa.float64())], names=["x", "none"]) for i in range(0, len(x), 20)]
+        rows = pa.Table.from_batches(list(_summaries(10)(iter(parts))))
+        assert set(rows["c"].to_pylist()) == {0} and max(map(len, rows["v"].to_pylist())) <= 10
+        got = _bounds(probabilities, 10)(rows).to_pylist()[0]
+        y = np.sort(x)
+        for p, low, high in zip(probabilities, got["low"], got["high"], strict=True):
+            at = (len(y) - 1) * p
+            assert got["n"] == len(y) and low <= y[int(np.floor(at))] and y[int(np.ceil(at))] <= high
+            assert ((y > low) & (y < high)).sum() <= 0.5 * len(y)
+
+
+def test_bracketed_quantiles_leave_out_columns_without_values(spark):
+    names = [f"c{i}" for i in range(4)]
+    df = spark.range(4000).repartition(7).select(*[((F.col("id") * (7 + i)) % 1009).cast("double").alias(c) for i, c in enumerate(names)], F.lit(None).cast("double").alias("none"))
+    x = np.arange(4000)
+    got = exact_quantiles(df, [*names, "none"], [0.0, 0.3, 1.0], single_pass_rows=0)
+    assert got["none"] is None
+    for i, c in enumerate(names):
+        assert np.allclose(got[c], np.quantile((x * (7 + i)) % 1009, [0.0, 0.3, 1.0]), rtol=0, atol=1e-9)
