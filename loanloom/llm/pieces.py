@@ -12,11 +12,10 @@ segmentation and leaves behind, at every word, one node for all other choices th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,6 @@ from pyspark.sql import types as T
 
 from loanloom.llm.common import fresh, ranges_of, small_batches, text_bytes
 
-#: No piece goes on past a space run or across a line end, so these parts of a text are independent.
-_PARTS = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 #: Streams of random numbers of one text.
 _SEGMENT, _OTHERS, _BRANCH, _FIRST = (np.uint64(x) for x in (0x1B873593, 0x2545F491, 0x38495AB5, 0x52DCE729))
 #: Probability below which what is left of a word's segmentations is lost in rounding.
@@ -47,7 +44,8 @@ class Vocabulary:
 
     The trie of the pieces keeps its edges in an open-addressing hash table, keyed by
     node * 256 + byte and under half full: a few hundred kilobytes for some 56,000 edges,
-    where a dense node-by-byte table would take 57 MB in every Python worker.
+    where a dense node-by-byte table would take 57 MB in every Python worker. Only the nodes
+    of one and of two bytes, which every state of a lattice asks for, have dense tables (512 KB).
     """
 
     pieces: list[bytes]
@@ -56,6 +54,8 @@ class Vocabulary:
     normal: list[int]
     keys: np.ndarray = field(init=False)
     children: np.ndarray = field(init=False)
+    roots: np.ndarray = field(init=False)
+    pairs: np.ndarray = field(init=False)
     ends: np.ndarray = field(init=False)
     longest: int = field(init=False)
 
@@ -79,6 +79,9 @@ class Vocabulary:
             while self.keys[slot] >= 0:
                 slot = (slot + 1) & ((1 << bits) - 1)
             self.keys[slot], self.children[slot] = key, child
+        every = np.arange(256)
+        self.roots = self.child(256 + every).astype(np.int64)
+        self.pairs = self.child((self.roots[:, None] * 256 + every).ravel()).astype(np.int64)
         self.ends = np.array(ends, dtype=np.int32)
         self.longest = max((len(self.pieces[i]) for i in self.normal), default=1)
 
@@ -86,8 +89,12 @@ class Vocabulary:
     def child(self, key: np.ndarray) -> np.ndarray:
         """The child at each edge key node * 256 + byte; 0 where the node has no such edge."""
         mask = len(self.keys) - 1
-        slot, todo = _slots(key, mask.bit_length()), np.arange(len(key))
-        out = np.zeros(len(key), dtype=np.int32)
+        slot = _slots(key, mask.bit_length())
+        there = self.keys.take(slot)
+        hit = there == key
+        out = self.children.take(slot) * hit
+        todo = np.flatnonzero((there >= 0) & ~hit)
+        slot = (slot.take(todo) + 1) & mask
         while len(todo):
             there = self.keys.take(slot)
             hit = there == key.take(todo)
@@ -141,6 +148,24 @@ class Lattice:
     piece: np.ndarray
     p: np.ndarray  # probability of the edge, given its state
     cum: np.ndarray
+    others: np.ndarray = field(init=False)  # of the state's other edges; nan until an edge is drawn
+
+    def __post_init__(self):
+        self.others = np.full(len(self.p), np.nan)
+
+    def beside(self, edge: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The probability of the other edges of each edge's state, summed edge by edge, once per edge."""
+        new = np.flatnonzero(np.isnan(self.others.take(edge)))
+        if len(new):
+            asked = edge.take(new)
+            self.others[asked] = np.arange(len(new))
+            new = new[self.others.take(asked) == np.arange(len(new))]  # each edge once
+            first, n = self.first.take(state.take(new)), self.count.take(state.take(new))
+            upto = np.cumsum(n)
+            p = self.p.take(np.arange(n.sum()) + np.repeat(first - (upto - n), n))
+            p[upto - n + edge.take(new) - first] = 0.0
+            self.others[edge.take(new)] = np.bincount(np.repeat(np.arange(len(new)), n), p, minlength=len(new))
+        return self.others.take(edge)
 
 
 def _covered(chars: np.ndarray, width: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -152,22 +177,49 @@ def _covered(chars: np.ndarray, width: np.ndarray, left: np.ndarray) -> np.ndarr
     return np.cumsum(opens - ends) > 0
 
 
-def build_lattice(parts: list[bytes], vocab: Vocabulary) -> Lattice:
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    data = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8)  # no piece holds a zero byte
+def split_parts(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The parts of all texts, one after the other, and their number in each text.
+
+    No piece goes on past a space run or across a line end, so a part is a line end or the
+    spaces, if any, and the other bytes up to the next of the two. A space goes in front of a text.
+    """
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
+    raw = b"".join([b" " + t for t in texts if t])
+    data = np.frombuffer(raw, dtype=np.uint8)
+    space, line = data == 32, data == 10
+    begins = line.copy()
+    begins[1:] |= (space[1:] & ~space[:-1]) | (line[:-1] & ~space[1:])
+    ends = np.cumsum(sizes)
+    begins[(ends - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(at, np.concatenate(([0], ends))))
+    offsets = pa.py_buffer(np.append(at, len(raw)).astype(np.int64))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, offsets, pa.py_buffer(raw)]), counts
+
+
+def build_lattice(parts: list[bytes] | pa.LargeBinaryArray, vocab: Vocabulary) -> Lattice:
+    parts = parts if isinstance(parts, pa.Array) else pa.array(parts, pa.large_binary())
+    offsets = np.frombuffer(parts.buffers()[1], dtype=np.int64)[parts.offset : parts.offset + len(parts) + 1]
+    sizes = np.diff(offsets)
     start = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     end = start + sizes
-    total = len(data)
+    total = int(end[-1]) + 1
     inside = np.ones(total, dtype=bool)
     inside[end] = False
+    data = np.zeros(total, dtype=np.uint8)  # no piece holds a zero byte
+    data[inside] = np.frombuffer(parts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     left = np.repeat(end, sizes + 1) - np.arange(total)
     count, found = np.zeros(total, dtype=np.int64), []
-    at = np.flatnonzero(inside).astype(np.int32)
-    node, symbol = np.ones(len(at), dtype=np.int64), data.astype(np.int64)
+    at, symbol = np.flatnonzero(inside), data.astype(np.int64)
     whole = np.zeros(total, dtype=bool)  # a piece covers exactly the character here
     width = _WIDTH[data]
     for size in range(1, vocab.longest + 1):
-        node = vocab.child(node * 256 + symbol.take(at + (size - 1))).astype(np.int64)
+        if size == 1:
+            node = vocab.roots.take(symbol.take(at))
+        elif size == 2:
+            node = vocab.pairs.take(symbol.take(at) * 256 + symbol.take(at + 1))
+        else:
+            node = vocab.child(node * 256 + symbol.take(at + (size - 1))).astype(np.int64)
         keep = np.flatnonzero(node)
         at, node = at.take(keep), node.take(keep)
         if not len(at):
@@ -179,48 +231,49 @@ def build_lattice(parts: list[bytes], vocab: Vocabulary) -> Lattice:
         count[here] += 1
         whole[here[width[here] == size]] = True
     lost = np.flatnonzero(~whole & inside & (width > 0))  # characters to be spelt in bytes
-    stray = np.flatnonzero(inside & (width == 0) & ~_covered(np.flatnonzero(inside & (width > 1)), width, left))  # no UTF-8
-    here = np.union1d(np.flatnonzero(inside & _covered(lost, width, left)), stray)
-    found.append((here, count[here], here + 1, vocab.byte_ids[data[here]]))
-    count[here] += 1
-    first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    to, piece = np.zeros(count.sum(), dtype=np.int32), np.zeros(count.sum(), dtype=np.int32)
-    for source, slot, target, ident in found:
-        edge = first.take(source) + slot
-        to[edge], piece[edge] = target, ident
-    weight = np.exp(vocab.weights)[piece]
-    mass, log_mass = np.ones(total), None  # of all ways from a state to the end of its part
+    loose = inside & (width == 0)
+    if len(lost) or loose.any():
+        stray = np.flatnonzero(loose & ~_covered(np.flatnonzero(inside & (width > 1)), width, left))  # no UTF-8
+        here = np.union1d(np.flatnonzero(inside & _covered(lost, width, left)), stray)
+        found.append((here, count[here], here + 1, vocab.byte_ids[data[here]]))
+        count[here] += 1
     order = np.flatnonzero(count)
     near = left[order]
     order = order[np.argsort(near.astype(np.uint16) if near.max(initial=0) < 1 << 16 else near, kind="stable")]
+    n = count.take(order)
+    # the edges of the states at one distance from the ends lie side by side
+    upto = np.concatenate(([0], np.cumsum(n)))
+    first = np.zeros(total, dtype=np.int64)
+    first[order] = upto[:-1]
+    to, piece = np.zeros(upto[-1], dtype=np.int64), np.zeros(upto[-1], dtype=np.int32)
+    for here, slot, target, ident in found:
+        edge = first.take(here) + slot
+        to[edge], piece[edge] = target, ident
+    weight = np.exp(vocab.weights).take(piece)
+    mass, log_mass = np.ones(total), None  # of all ways from a state to the end of its part
+    place = np.repeat(np.arange(len(order)), n)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(left[order])) + 1, [len(order)]))
     for a, b in pairwise(cuts.tolist()):  # from the ends of the parts to their beginnings
-        states = order[a:b]
-        edge, n = first.take(states), count.take(states)
+        states, e = order[a:b], slice(upto[a], upto[b])
+        if not len(states):
+            continue
+        own = place[e] - a
         if left[states[0]] <= _LINEAR:
-            value = weight.take(edge) * mass.take(to.take(edge))
-            for j in range(1, n.max()):
-                more = np.flatnonzero(n > j)
-                e = edge.take(more) + j
-                value[more] += weight.take(e) * mass.take(to.take(e))
-            mass[states] = value
+            mass[states] = np.bincount(own, weight[e] * mass.take(to[e]), minlength=b - a)
             continue
         if log_mass is None:
             log_mass = np.log(mass)
-        value = np.log(weight.take(edge)) + log_mass.take(to.take(edge))
-        for j in range(1, n.max()):
-            more = np.flatnonzero(n > j)
-            e = edge.take(more) + j
-            value[more] = np.logaddexp(value.take(more), np.log(weight.take(e)) + log_mass.take(to.take(e)))
-        log_mass[states] = value
-    source = np.repeat(np.arange(total, dtype=np.int32), count)
-    p = weight * mass.take(to) / mass.take(source)
+        value = np.log(weight[e]) + log_mass.take(to[e])
+        top = np.maximum.reduceat(value, upto[a:b] - upto[a])
+        log_mass[states] = top + np.log(np.bincount(own, np.exp(value - top.take(own)), minlength=b - a))
+    p = weight * mass.take(to) / np.repeat(mass.take(order), n)
     if log_mass is not None:
+        source = order.take(place)
         far = np.flatnonzero(left.take(source) > _LINEAR)
         p[far] = np.exp(np.log(weight.take(far)) + log_mass.take(to.take(far)) - log_mass.take(source.take(far)))
     running = np.cumsum(p)
-    cum = running - np.concatenate(([0.0], running)).take(first.take(source))
-    cum[(first + count - 1)[count > 0]] = 2.0  # the last edge takes what rounding leaves
+    cum = running - np.repeat(np.concatenate(([0.0], running)).take(upto[:-1]), n)
+    cum[upto[1:] - 1] = 2.0  # the last edge takes what rounding leaves
     return Lattice(start, end, first, count, to, piece, p, cum)
 
 
@@ -254,29 +307,27 @@ def sample_words(lattice: Lattice, words: np.ndarray, seeds: np.ndarray) -> tupl
     state, end = lattice.start[words], lattice.end[words]
     index, logq, taken, step = np.arange(len(words)), np.zeros(len(words)), [], 0
     count, rest = np.zeros(len(words), dtype=np.int64), np.zeros(len(words))
+    path, other = logq, rest  # of the words still under way
     while len(index):
-        draw = _uniform(seeds[index] + _nth(step))
-        edge = lattice.first[state].copy()
-        on = np.flatnonzero(draw >= lattice.cum[edge])
+        draw = _uniform(seeds + _nth(step))
+        edge = lattice.first.take(state)
+        on = np.flatnonzero(draw >= lattice.cum.take(edge))
         while len(on):
-            edge[on] += 1
-            on = on[draw[on] >= lattice.cum[edge[on]]]
-        first, n = lattice.first.take(state), lattice.count.take(state)
-        beside = np.zeros(len(index))
-        for j in range(int(n.max(initial=0))):
-            near = np.flatnonzero((n > j) & (first + j != edge))
-            beside[near] += lattice.p.take(first.take(near) + j)
-        rest[index] += np.exp(logq[index]) * beside
-        logq[index] += np.log(lattice.p.take(edge))
+            near = edge.take(on) + 1
+            edge[on] = near
+            on = on[draw.take(on) >= lattice.cum.take(near)]
+        other = other + np.exp(path) * lattice.beside(edge, state)
+        path = path + np.log(lattice.p.take(edge))
         taken.append((index, edge))
-        count[index] += 1
-        state = lattice.to[edge]
-        more = state < end[index]
-        index, state, step = index[more], state[more], step + 1
-    first = np.concatenate(([0], np.cumsum(count)))
-    edges = np.empty(first[-1], dtype=np.int64)
+        state, step = lattice.to.take(edge), step + 1
+        going, done = np.flatnonzero(state < end), np.flatnonzero(state >= end)
+        to = index.take(done)
+        logq[to], rest[to], count[to] = path.take(done), other.take(done), step
+        index, state, end, seeds, path, other = (x.take(going) for x in (index, state, end, seeds, path, other))
+    first = np.cumsum(count) - count
+    edges = np.empty(count.sum(), dtype=np.int64)
     for step, (index, edge) in enumerate(taken):
-        edges[first[:-1][index] + step] = edge
+        edges[first.take(index) + step] = edge
     with np.errstate(divide="ignore"):
         return edges, count, logq, np.log(rest)
 
@@ -296,7 +347,8 @@ def _known_trie(lattice: Lattice, word: int, known: list[list[int]]) -> tuple[li
     left = [0.0] * len(kids)
     for node in reversed(range(len(kids))):  # children come after their parents; a known end leaves nothing
         first, n = int(lattice.first[states[node]]), int(lattice.count[states[node]])
-        left[node] = sum(float(lattice.p[e]) * (left[kids[node][e]] if e in kids[node] else 1.0) for e in range(first, first + n))
+        there = kids[node]
+        left[node] = sum(p * (left[there[e]] if e in there else 1.0) for e, p in enumerate(lattice.p[first : first + n].tolist(), first))
     return kids, left
 
 
@@ -365,15 +417,13 @@ def sample_segmentations(texts: list[bytes], seeds: np.ndarray, vocab: Vocabular
     choices of a tiny probability stay within reach. The inclusion score is the probability of being among the k given the largest value
     that is not; it is 1 where all segmentations are drawn. An empty text has one, without pieces.
     """
-    parts = [_PARTS.findall(b" " + t) if t else [] for t in texts]
-    counts = np.array([len(w) for w in parts], dtype=np.int64)
-    words = list(chain.from_iterable(parts))
-    types = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    parts, counts = split_parts(texts)
     base = np.concatenate(([0], np.cumsum(counts)))
-    if not types:
+    if not len(parts):
         return [[(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
-    lattice = build_lattice(list(types), vocab)
-    flat = np.fromiter(map(types.__getitem__, words), dtype=np.int64, count=len(words))
+    types = parts.dictionary_encode()
+    lattice = build_lattice(types.dictionary, vocab)
+    flat = types.indices.to_numpy().astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), counts)
     place = (np.arange(len(flat)) - base[owner]).astype(np.uint64)
     seeds = _mixed(seeds.view(np.uint64))

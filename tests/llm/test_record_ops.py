@@ -6,6 +6,7 @@ import base64
 import hashlib
 import itertools
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -393,6 +394,29 @@ def test_left_beside_known_ones(vocab):
         assert abs(pieces.left_beside(lattice, 0, [edges_of(s) for s in order[:m]]) - want) <= 1e-15 + 1e-9 * want
 
 
+def test_parts_are_cut_as_the_pattern_says():
+    texts = [b"", b"  x ", b"a\n\nb\n", b"\n", b" ", b"the  the\tcat \n  sat", "日 本\n𝄞".encode(), b"", b"\xff \x00z"]
+    parts, counts = pieces.split_parts(texts)
+    want = [re.findall(rb"\n| +[^ \n]*|[^ \n]+", b" " + t) if t else [] for t in texts]
+    assert parts.to_pylist() == [p for w in want for p in w] and counts.tolist() == [len(w) for w in want]
+    assert [len(x) for x in pieces.split_parts([b"", b""])] == [0, 2]
+
+
+def test_other_edges_are_summed_once_and_only_for_drawn_edges(vocab):
+    lattice = pieces.build_lattice([b" there", b" hand", b"\n"], vocab)
+    state = np.repeat(lattice.start, 2)  # every edge is asked for twice
+    edge = lattice.first[state]
+    want = [sum(lattice.p[f + 1 : f + n].tolist()) for f, n in zip(edge, lattice.count[state], strict=True)]
+    assert lattice.beside(edge, state).tolist() == want
+    assert np.isfinite(lattice.others).sum() == 3
+    assert lattice.beside(edge[:1], state[:1]).tolist() == want[:1]
+
+
+def test_no_edge_is_searched_again_for_its_first_two_bytes(vocab):
+    pair = int(vocab.pairs[ord("t") * 256 + ord("h")])
+    assert pair == int(vocab.child(np.array([int(vocab.roots[ord("t")]) * 256 + ord("h")]))[0]) and vocab.ends[pair] >= 0
+
+
 def test_texts_come_back(spark, vocab, monkeypatch):
     monkeypatch.setattr(pieces, "CHUNK", 40)
     texts = ["", None, "  x ", "a\n\nb\n", "▁a▁ b", "é\tñ ﬁ Ａ\x00z", "    ", "日本語𝄞", "x" * 3000, "word " * 2000, "the", "the"]
