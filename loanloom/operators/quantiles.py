@@ -69,6 +69,63 @@ def bucket_codes(
     return df.withColumns(codes) if codes else df
 
 
+def bin_counts(
+    df: DataFrame, cuts: dict[str, Sequence[float]], flags: Sequence[Column]
+) -> dict[str, dict[int | None, tuple[int, ...]]]:
+    """Per column and bin the number of rows and of those with each 0/1 flag; NULL has the bin None.
+
+    Bins are those of :func:`bucket_codes`. All columns are counted in one pass over Arrow
+    batches and each task hands on one short row per column and bin, where exploding the codes
+    would send every column of every row through a hash aggregate.
+    """
+    names = list(cuts)
+    if not names:
+        return {}
+    edges = [_total_order(np.array(cuts[c], np.float64)) for c in names]
+    bits = len(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((len(e) + 2) << bits, np.int64) for e in edges]
+        for batch in batches:
+            mark = np.zeros(batch.num_rows, np.int64)
+            for k in range(bits):
+                mark |= batch.column(k).to_numpy().astype(np.int64) << k
+            for c, e in enumerate(edges):
+                v = _total_order(batch.column(bits + c).to_numpy(zero_copy_only=False))
+                b = np.searchsorted(e, v, "right")
+                b[np.isnan(v)] = len(e) + 1
+                totals[c] += np.bincount(b << bits | mark, minlength=len(totals[c]))
+        for c, total in enumerate(totals):
+            code = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(code), c), pa.int32()),
+                    pa.array(code >> bits, pa.int32()),
+                    pa.array(code & ((1 << bits) - 1), pa.int32()),
+                    pa.array(total[code], pa.int64()),
+                ],
+                names=["c", "b", "mark", "n"],
+            )
+
+    wide = df.select(
+        *[F.coalesce(f.cast("int"), F.lit(0)).alias(f"_flag_{k}") for k, f in enumerate(flags)],
+        *[F.col(c).cast("double").alias(c) for c in names],
+    )
+    counted = wide.mapInArrow(run, "c int, b int, mark int, n bigint").groupBy("c", "b", "mark").agg(F.sum("n").alias("n"))
+    out: dict[str, dict[int | None, tuple[int, ...]]] = {c: {} for c in names}
+    for r in counted.collect():  # a few rows per column and bin
+        here, b = out[names[r["c"]]], None if r["b"] > len(cuts[names[r["c"]]]) else r["b"]
+        old = here.get(b, (0,) * (bits + 1))
+        hit = (True, *(bool(r["mark"] >> k & 1) for k in range(bits)))
+        here[b] = tuple(x + r["n"] * h for x, h in zip(old, hit, strict=True))
+    return out
+
+
+def _total_order(v: np.ndarray) -> np.ndarray:
+    """-0.0 below 0.0, as the search of the bucketizer has it."""
+    return np.where((v == 0.0) & np.signbit(v), -5e-324, v)
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],

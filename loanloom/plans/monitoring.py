@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from loanloom.functions.nulls import number
 from loanloom.operators.metrics import discrimination_by, score_curve, slice_cuts
-from loanloom.operators.quantiles import SINGLE_PASS_ROWS, bucket_codes, exact_quantiles
+from loanloom.operators.preprocess import kept
+from loanloom.operators.quantiles import SINGLE_PASS_ROWS, bin_counts, exact_quantiles
 
 # Thresholds of the monitoring policy.
 PSI_ALERT, PSI_RETRAIN = 0.25, 0.40
@@ -37,41 +38,23 @@ def share_table(
 ) -> DataFrame:
     """Rows per feature and baseline-quantile bin in both populations, with shares.
 
-    One quantile pass over the baseline, then one grouped count over both
-    populations for all features. Bin 0 .. n; nulls form the bin -1.
+    The populations are computed once and kept for the quantiles of the baseline and one count
+    over both for all features. Bin 0 .. n; nulls form the bin -1.
     """
     none = F.lit(None).cast("double")
     cleaned = populations.df.select(
         populations.is_baseline.alias("_base"), *[F.nanvl(number(c), none).alias(c) for c in features]
     )
     grid = [i / n_bins for i in range(n_bins + 1)]
-    edges = exact_quantiles(
-        cleaned.where("_base"), list(features), grid, single_pass_rows=single_pass_rows
-    )
-    cuts = {c: sorted(set(q))[1:-1] if q else [] for c, q in edges.items()}
-    width = n_bins + 1
-    coded = bucket_codes(cleaned, cuts, {c: f"_bin_{c}" for c in features})
-    codes = F.array(
-        *[
-            F.lit(i * width) + F.when(F.col(c).isNull(), F.lit(n_bins)).otherwise(F.col(f"_bin_{c}"))
-            for i, c in enumerate(features)
-        ]
-    )
-    counts = (
-        coded.select("_base", F.explode(codes).alias("code"))
-        .groupBy("code")
-        .agg(
-            F.count_if(F.col("_base")).alias("n_baseline"),
-            F.count_if(~F.col("_base")).alias("n_current"),
+    with kept(cleaned) as rows:
+        edges = exact_quantiles(
+            rows.where("_base"), list(features), grid, single_pass_rows=single_pass_rows
         )
-    )
-    names = F.array(*[F.lit(c) for c in features])
-    bin_ = F.col("code") % width
-    table = counts.select(
-        F.get(names, F.floor(F.col("code") / width).cast("int")).alias("feature"),
-        F.when(bin_ == n_bins, F.lit(-1)).otherwise(bin_).cast("int").alias("bin"),
-        "n_baseline",
-        "n_current",
+        cuts = {c: sorted(set(q))[1:-1] if q else [] for c, q in edges.items()}
+        counts = bin_counts(rows, cuts, [F.col("_base"), ~F.col("_base")])
+    table = populations.df.sparkSession.createDataFrame(
+        [(c, -1 if b is None else b, *n[1:]) for c in features for b, n in counts[c].items()],
+        "feature string, bin int, n_baseline bigint, n_current bigint",
     )
     totals = table.groupBy("feature").agg(
         F.sum("n_baseline").alias("_nb"), F.sum("n_current").alias("_nc")

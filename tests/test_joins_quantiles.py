@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanloom.operators import joins
-from loanloom.operators.quantiles import bucket_codes, case_bin, exact_quantiles
+from loanloom.operators.quantiles import bin_counts, bucket_codes, case_bin, exact_quantiles
+from loanloom.plans.monitoring import Populations, share_table
 
 
 @pytest.fixture
@@ -131,3 +132,36 @@ def test_bins(spark):
     assert [r["b"] for r in coded] == [0, 1, 1, 2, 2, 3]
     single = bucket_codes(df, {"x": []}, {"x": "b"}).select("b").collect()
     assert [r["b"] for r in single] == [0, 0, 0, 0, 0, 1]
+
+
+def test_bin_counts_are_those_of_the_bucket_codes(spark):
+    values = [None, -1.0, -0.0, 0.0, 0.5, 1.0, 2.0, float("inf"), float("-inf"), 0.0]
+    rows = [(x, None if i == 3 else float(i % 2), None if i % 3 else x) for i, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "x double, y double, z double").repartition(3)
+    cuts = {"x": [0.0, 1.0], "z": []}
+    got = bin_counts(df, cuts, [F.col("y"), F.col("y") == 0.0])
+    coded = bucket_codes(df, cuts, {"x": "bx", "z": "bz"}).collect()
+    for c, code in (("x", "bx"), ("z", "bz")):
+        want = {}
+        for r in coded:
+            b = None if r[code] > len(cuts[c]) else r[code]
+            n = want.get(b, (0, 0, 0))
+            want[b] = (n[0] + 1, n[1] + (r["y"] == 1.0), n[2] + (r["y"] == 0.0))
+        assert got[c] == want
+    assert bin_counts(df.where("false"), cuts, []) == {"x": {}, "z": {}}
+
+
+def test_share_table_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(400, numPartitions=4).selectExpr("id % 2 = 0 as base", "if(id % 10 = 0, null, double(id)) as x")
+    df = rows.mapInArrow(counted, rows.schema)
+    table = share_table(Populations(df, F.col("base")), ["x"], n_bins=4, single_pass_rows=100).collect()
+    assert seen.value == 400  # quantiles and both counts read the kept rows
+    assert sum(r["n_baseline"] for r in table) == 200 == sum(r["n_current"] for r in table)
+    assert {r["bin"]: r["n_baseline"] for r in table}[-1] == 40
