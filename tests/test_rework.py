@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loanloom.operators import smote as smote_module
 from loanloom.operators.preprocess import IQRClipper, NeuralPreprocessor, TreePreprocessor
 from loanloom.operators.quantiles import grouped_quantile
 from loanloom.operators.smote import smote
@@ -144,3 +145,24 @@ def test_models_come_back_from_disk(credit, tmp_path):
         assert scores(again) == scores(model)
     with pytest.raises(ValueError, match="PDBoostedTrees"):
         PDScorecard.load(str(tmp_path / "PDBoostedTrees"))
+
+
+def test_points_ask_only_the_blocks_in_reach(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(12, 3)) * 50, 25, axis=0) + rng.normal(size=(300, 3)) * 0.1
+    x[:, 2] = np.round(x[:, 2])  # equal values in a column that is cut
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    vectors = df.select("id", F.array("a", "b", "c").alias("x"))
+    dist = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(dist, np.inf)
+    for points in (20_000, 30):  # cuts from all points, and from a few: large leaves become several blocks
+        monkeypatch.setattr(smote_module, "_CUT_POINTS", points)
+        placed, low, high = smote_module._placed(vectors, 300, 12, 3, 25)
+        blocks = [r["n"] for r in placed.groupBy("block").agg(F.count("*").alias("n")).collect()]
+        assert sum(blocks) == 300 and len(low) >= len(blocks) >= 12 and max(blocks) <= 60
+        asked = smote_module._near_in_own_block(placed, low, high, 3, 4).select(F.size("others").alias("n")).collect()
+        if points == 20_000:  # before, each point was sent to every block
+            assert sum(r["n"] for r in asked) < 300 * 3
+        got = {r["id"]: r["ids"] for r in smote_module.neighbours(df, ["a", "b", "c"], 4, block_points=25).collect()}
+        for i in range(300):
+            np.testing.assert_allclose(dist[i, got[i]], np.sort(dist[i])[:4], rtol=1e-6, atol=1e-9)
